@@ -53,7 +53,7 @@ def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size of df's input, 0 where it has none."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return n if n < 1 << 60 else 0
 
 

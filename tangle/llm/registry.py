@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import simhash, urlrules
+from . import fertility, mixing, packing, simhash, topk, urlrules
 
 
 def queries() -> dict:
     return {
+        "op3_mixing": mixing.op3,
+        "op4_fertility": fertility.op4,
+        "op5_packing": packing.op5,
+        "op7_topk": topk.op7,
         "op8_host_reputation": urlrules.op8,
         "op10_simhash": simhash.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_host_reputation": urlrules.ORACLE_SQL}
+    return {"op7_topk": topk.ORACLE_SQL, "op8_host_reputation": urlrules.ORACLE_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fertility, mixing, packing, simhash, topk, urlrules
+from . import fertility, htmltext, mixing, packing, simhash, topk, urlrules
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_packing": packing.op5,
         "op7_topk": topk.op7,
         "op8_host_reputation": urlrules.op8,
+        "op9_main_text": htmltext.op9,
         "op10_simhash": simhash.op10,
     }
 

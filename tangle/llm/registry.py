@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fertility, htmltext, mixing, packing, simhash, topk, urlrules
+from . import fertility, htmltext, mixing, packing, simhash, substrings, topk, urlrules
 
 
 def queries() -> dict:
     return {
+        "op1_substrings": substrings.op1,
         "op3_mixing": mixing.op3,
         "op4_fertility": fertility.op4,
         "op5_packing": packing.op5,

@@ -23,8 +23,9 @@ VOCABULARY = "piece_bpe_32k.model"
 BYTES = (3, 259)
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A measure is out of band this many deviations (1.4826 MAD, and at least FLOOR) from its group's median.
-WIDTH = 4.5
+#: A measure is out of band this many deviations (1.4826 MAD, and at least FLOOR) from its group's median; characters per
+#: token and entropy that are both low, JOINT deviations. Text that mixes languages is low in one of them only.
+WIDTH, JOINT = 6.0, 2.25
 FLOOR = {"chars_per_token": 0.03, "byte_share": 0.02, "entropy": 0.1}
 #: Steps to which measures are rounded for the medians, so that a group's histogram stays small whatever its size.
 STEP = {"chars_per_token": 0.01, "byte_share": 0.001, "entropy": 0.02}
@@ -148,7 +149,7 @@ def bands(measured: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def judge(docs: DataFrame, width: float = WIDTH, least: int = LEAST_GROUP, **how) -> DataFrame:
+def judge(docs: DataFrame, width: float = WIDTH, joint: float = JOINT, least: int = LEAST_GROUP, **how) -> DataFrame:
     """measure() of every row with kept: false if the base rules fail or any measure is out of its group's band.
 
     Repeated rows are judged alike; no rows give no rows. With no document that passes the base rules there is no band.
@@ -168,8 +169,10 @@ def judge(docs: DataFrame, width: float = WIDTH, least: int = LEAST_GROUP, **how
         rows = rows.join(F.broadcast(pick(1, "b1")), F.col("lang").eqNullSafe(F.col("name1")), "left")
         rows = rows.join(F.broadcast(pick(2, "b2")), F.col("script") == F.col("name2"), "left")
         rows = rows.join(F.broadcast(pick(3, "b3")), F.lit(True), "left").withColumn("band", F.coalesce("b0", "b1", "b2", "b3"))
+        away = {m: (F.col(m) - F.col(f"band.{m}_middle")) / F.greatest(1.4826 * F.col(f"band.{m}_spread"), F.lit(FLOOR[m])) for m in _MEASURES}
         for m in _MEASURES:
-            inside &= F.abs(F.col(m) - F.col(f"band.{m}_middle")) <= width * F.greatest(1.4826 * F.col(f"band.{m}_spread"), F.lit(FLOOR[m]))
+            inside &= F.abs(away[m]) <= width
+        inside &= ~((away["chars_per_token"] < -joint) & (away["entropy"] < -joint))
     kept = ~F.col("base_failed") & inside
     return rows.select(*own.columns, kept.alias("kept"))
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import fertility, htmltext, mixing, packing, simhash, substrings, topk, urlrules
+from . import fertility, htmltext, mixing, packing, quality, simhash, substrings, topk, toxicity, urlrules
 
 
 def queries() -> dict:
     return {
         "op1_substrings": substrings.op1,
+        "op2_toxicity": toxicity.op2,
         "op3_mixing": mixing.op3,
         "op4_fertility": fertility.op4,
         "op5_packing": packing.op5,
+        "op6_quality": quality.op6,
         "op7_topk": topk.op7,
         "op8_host_reputation": urlrules.op8,
         "op9_main_text": htmltext.op9,

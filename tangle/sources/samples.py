@@ -59,6 +59,14 @@ def load(
     several = isinstance(labels, (list, tuple))
     if multilabel is not None and labels is not None and multilabel != several:
         raise ValueError("labels must be two-dimensional" if multilabel else "labels must be one-dimensional")
+    names = list(label_names or labels) if several else []
+    if several:
+        if not labels:
+            raise ValueError("at least one label column is needed")
+        if len(names) != len(labels):
+            raise ValueError("label_names must have one name for each label column")
+        if len(set(names)) != len(names):
+            raise ValueError("label_names has duplicates")
     own = df.select(F.col(id_col).cast("long").alias("id"), _feature_array(df, features).alias("features"), *([F.col(c) for c in labels] if several else [F.col(labels)] if labels else []))
     bad = ~F.coalesce(F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (labels if several else [labels] if labels else [])], F.lit(False))
@@ -83,13 +91,6 @@ def load(
         return Samples(base, None, stats["n"], stats["least"], False, ())
     if not several:
         return _single(own, base, stats, labels, label_names)
-    names = list(label_names or labels)
-    if len(names) != len(labels):
-        raise ValueError("label_names must have one name for each label column")
-    if len(set(names)) != len(names):
-        raise ValueError("label_names has duplicates")
-    if not labels:
-        raise ValueError("at least one label column is needed")
     long = own.select("id", F.inline(F.array(*[F.struct(F.lit(n).alias("label_name"), F.col(c).cast("double").alias("y")) for n, c in zip(names, labels, strict=True)])))
     seen = {r["label_name"]: r for r in long.groupBy("label_name").agg(F.sum("y").alias("pos"), F.count_if(~F.col("y").isin(0.0, 1.0)).alias("odd")).collect()}
     if any(r["odd"] for r in seen.values()):

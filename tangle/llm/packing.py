@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, capaci
         for b in C.batches(it, C.BATCH_BYTES // 2):
             buf, offs = C.buffers(b.column(1))
             st, en, first = C.word_spans(buf, offs)
-            flat, n = words.flat(words.codes(buf, st, en))
+            flat, n = words.ids_of(buf, st, en)
             upto = np.concatenate([[0], np.cumsum(n)])[first]  # ids before each document, ends left out
             size = np.diff(upto) + 1
             to = np.concatenate([[0], np.cumsum(size)])

@@ -35,14 +35,54 @@ def _encoder(path: str):
 
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
-    return lambda words: [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)]
+    plain = lambda words: [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)]
+    if not _folds(path):
+        return plain
+    ends = np.zeros(max(model.get_vocab().values()) + 1, bool)
+    ends[[i for t, i in model.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def joined(words: list[str]) -> list[list[int]]:
+        """Words of lower-case letters are one token run each, closed by a word end: they are encoded as one text."""
+        simple = [k for k, w in enumerate(words) if w.isalpha() and max(w) < "\u0250" and w == w.lower()]
+        ids = np.array(model.encode(" ".join([words[k] for k in simple]), add_special_tokens=False).ids, np.int64)
+        cut = np.flatnonzero(ends[ids]) + 1 if len(ids) else ids
+        if len(cut) != len(simple):
+            return plain(words)
+        found: list = [None] * len(words)
+        for k, part in zip(simple, np.split(ids, cut[:-1]) if simple else [], strict=True):
+            found[k] = part
+        rest = [k for k, x in enumerate(found) if x is None]
+        for k, part in zip(rest, plain([words[k] for k in rest]), strict=True):
+            found[k] = part
+        return found
+
+    return joined
+
+
+def _folds(path: str) -> bool:
+    """Whether a vocabulary lower-cases its text, parts letters from other characters and marks word ends."""
+    if not path.endswith(".json"):
+        return False
+    import json
+
+    with open(path) as f:
+        own = json.load(f)
+    return "Lowercase" in json.dumps(own["normalizer"]) and "[\\\\p{L}]+|[\\\\p{N}]|" in json.dumps(own["pre_tokenizer"]) and own["model"].get("end_of_word_suffix") == "</w>"
+
+
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_TAIL, _SAFE = np.zeros(256, bool), np.zeros(256, bool)
+_TAIL[list(b",.;:!?")] = True
+_SAFE[48:58] = _SAFE[97:123] = True
 
 
 class WordCoder:
     """Ids of words, remembered by word form."""
 
     def __init__(self, name: str):
-        self.encode = _encoder(vocabulary_path(name))
+        path = vocabulary_path(name)
+        self.encode, self.folds = _encoder(path), _folds(path)
         self.reset()
 
     def reset(self) -> None:
@@ -53,7 +93,7 @@ class WordCoder:
     def _learn(self, words: list[bytes]) -> None:
         found = self.encode([w.decode("utf-8", "replace") for w in words])
         n = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for y in found for x in y), np.int32, int(n.sum()))
+        flat = np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int32)
         k = len(self.known)
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -84,6 +124,26 @@ class WordCoder:
         place = np.fromiter(map(self.known.__getitem__, forms), np.int64, len(forms))
         return place[words.indices.to_numpy()]
 
+    def ids_of(self, buf: np.ndarray, st: np.ndarray, en: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in a row, and how many each word has.
+
+        Where the vocabulary allows, forms are lower-cased and a last punctuation mark after a letter or digit is a form
+        of its own: the ids are the same, and the forms fewer.
+        """
+        if not self.folds or not len(st):
+            return self.flat(self.codes(buf, st, en))
+        buf = _LOW.take(buf)
+        before = buf[np.maximum(en - 2, 0)]
+        latin = (buf[np.maximum(en - 3, 0)] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (en - st > 2)
+        tail = _TAIL[buf[en - 1]] & (en - st > 1) & (_SAFE[before] | latin)
+        word = np.repeat(np.arange(len(st)), 1 + tail)
+        own = np.cumsum(1 + tail) - 1 - tail  # each word's first form
+        begin, end = st[word], en[word]
+        end[own[tail]] -= 1
+        begin[own[tail] + 1] = en[tail] - 1
+        ids, n = self.flat(self.codes(buf, begin, end))
+        return ids, np.add.reduceat(n, own)
+
     def flat(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words in a row, and how many each has."""
         n = self.n[code]

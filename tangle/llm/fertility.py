@@ -88,8 +88,11 @@ def base_counts(buf: np.ndarray, offs: np.ndarray, st: np.ndarray, en: np.ndarra
     return out
 
 
-def measure(docs: DataFrame, vocabulary: str = VOCABULARY, byte_ids: tuple[int, int] = BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts and fertility of every row. Null text: no word; its measures are 0. A null lang is a language of its own."""
+def measure(docs: DataFrame, vocabulary: str = VOCABULARY, byte_ids: tuple[int, int] = BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
+    """Counts and fertility of every row. Null text: no word; its measures are 0. A null lang is a language of its own.
+
+    carry: the whole row comes along as struct `row`.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocab.coder(vocabulary)
@@ -98,7 +101,7 @@ def measure(docs: DataFrame, vocabulary: str = VOCABULARY, byte_ids: tuple[int,
             st, en, first = C.word_spans(buf, offs)
             got = base_counts(buf, offs, st, en, first)
             n = got["n_words"]
-            ids, size = words.flat(words.codes(buf, st, en))
+            ids, size = words.ids_of(buf, st, en)
             upto = np.concatenate([[0], np.cumsum(size)])[first]
             tokens = np.diff(upto)
             byte = _per((ids >= byte_ids[0]) & (ids < byte_ids[1]), upto)
@@ -108,16 +111,18 @@ def measure(docs: DataFrame, vocabulary: str = VOCABULARY, byte_ids: tuple[int,
             part = np.bincount(runs[cut] >> 32, count * np.log2(count), len(n))
             some = np.maximum(tokens, 1)
             script = [_per((buf >= a) & (buf <= z), offs) for a, z in SCRIPTS.values()]
-            names = np.array([*SCRIPTS, "none"])
-            script = names[np.where(np.max(script, axis=0) > 0, np.argmax(script, axis=0), len(SCRIPTS))]
+            kinds = np.array([*SCRIPTS, "none"])
+            script = kinds[np.where(np.max(script, axis=0) > 0, np.argmax(script, axis=0), len(SCRIPTS))]
             failed = (n < LEAST_WORDS) | (100 * got["n_repeat_words"] > MOST_REPEATED * n)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(script.tolist(), pa.string()), *[pa.array(got[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-                 pa.array(failed), pa.array(tokens), pa.array(got["word_chars"] / some), pa.array(byte / some), pa.array(np.log2(some) - part / some)],
-                names=[x.split()[0] for x in _SCHEMA.split(", ")],
+                 pa.array(failed), pa.array(tokens), pa.array(got["word_chars"] / some), pa.array(byte / some), pa.array(np.log2(some) - part / some), *b.columns[3:]],
+                names=names,
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, _SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), *[F.struct(*docs.columns).alias("row")] * carry)
+    names = [x.split()[0] for x in _SCHEMA.split(", ")] + ["row"] * carry
+    return rows.mapInArrow(run, _SCHEMA + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""))
 
 
 def _octave() -> Column:

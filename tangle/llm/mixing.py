@@ -130,8 +130,8 @@ _PIECE = "array<struct<turn:int,block:long,shard:int,start:long,length:long>>"
 _PIECE_TYPE = pa.list_(pa.struct([("turn", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]))
 
 
-def mix(docs: DataFrame, *carry: str, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, pieces, and the columns to carry.
+def mix(docs: DataFrame, carry: bool = False, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, pieces; carry: and the whole row as struct `row`.
 
     A source takes int(target) words exactly; a document at most cap times its words, rounded up to whole turns. Null text
     has no words and nothing of it is taken; a null source is a source of its own. Repeated rows are documents of their own.
@@ -141,7 +141,7 @@ def mix(docs: DataFrame, *carry: str, weights=WEIGHTS, share: float = SHARE, cap
     spark = docs.sparkSession
     text = F.col(text_col)
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text, F.lit(C.WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"), *[F.col(c).alias(f"_{c}") for c in carry]
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text, F.lit(C.WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"), *[F.struct(*docs.columns).alias("row")] * carry
     )
     sized = C.durable(sized)
     sizes = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # a row a source
@@ -175,7 +175,7 @@ def mix(docs: DataFrame, *carry: str, weights=WEIGHTS, share: float = SHARE, cap
         upto[src] = upto.get(src, 0) + n
     bases = spark.createDataFrame(base, "src int, pid int, base long")
     full = placed.join(F.broadcast(bases), ["src", "pid"])  # as many rows as partitions and sources
-    full = full.select("doc_id", "source", "size", "source_size", "target", "src", (F.col("off") + F.col("base")).alias("off"), *[f"_{c}" for c in carry])
+    full = full.select("doc_id", "source", "size", "source_size", "target", "src", (F.col("off") + F.col("base")).alias("off"), *["row"] * carry)
     held = spark.sparkContext.broadcast((sources, dealt))
     columns = full.columns
 
@@ -191,11 +191,12 @@ def mix(docs: DataFrame, *carry: str, weights=WEIGHTS, share: float = SHARE, cap
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema) + f", taken long, pieces {_PIECE}"
     out = full.mapInArrow(draw, schema)
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "pieces", *[F.col(f"_{c}").alias(c) for c in carry])
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "pieces", *["row"] * carry)
 
 
 def materialize(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: columns of docs and shard, turn, start; a row a piece, its words of the text, shuffled within shards.
+    """The mix itself: columns of docs and _piece (shard, turn, start, length); a row a piece, its words of the text, shuffled
+    within shards.
 
     A text that is taken whole stays as it is, a part of it is its span from first to last word. n_chars, if it is a column
     of docs, is counted again. Rows of a shard lie in one partition, ordered by hash.
@@ -203,30 +204,31 @@ def materialize(docs: DataFrame, **how) -> DataFrame:
     if "text" not in docs.columns or "doc_id" not in docs.columns:
         raise ValueError("docs needs doc_id and text")
     names = docs.columns
-    found = mix(docs, *names, **how)
-    rows = found.select(F.col("size").alias("_size"), F.explode("pieces").alias("_p"), *names)
-    order = F.xxhash64(F.lit(how.get("seed", SEED)), "shard", "doc_id", "turn", "start")
-    flat = rows.select("_p.shard", "_p.turn", "_p.start", F.col("_p.length").alias("_length"), "_size", *names)
+    found = mix(docs, carry=True, **how)
+    flat = found.select("doc_id", "size", F.explode("pieces").alias("piece"), F.col("row.text").alias("text"), F.struct(*[F.col("row").getField(c) for c in names if c != "text"]).alias("rest"))
+    flat = flat.select("doc_id", "size", "piece.turn", "piece.shard", "piece.start", "piece.length", "text", "rest")
     columns = flat.columns
-    t = columns.index("text")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.batches(it):
-            start, length, size = (b.column(columns.index(c)).to_numpy() for c in ("start", "_length", "_size"))
+            start, length, size = (b.column(columns.index(c)).to_numpy() for c in ("start", "length", "size"))
             if (part := length < size).any():
+                t = columns.index("text")
                 buf, offs = C.buffers(b.column(t))
                 st, en, first = C.word_spans(buf, offs)
                 texts = b.column(t).to_pylist()
                 for i in np.flatnonzero(part):
                     texts[i] = buf[st[first[i] + start[i]] : en[first[i] + start[i] + length[i] - 1]].tobytes().decode()
-                b = b.set_column(t, "text", pa.array(texts, b.column(t).type))
+                b = b.set_column(t, columns[t], pa.array(texts, b.column(t).type))
             yield b
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema)
-    flat = flat.mapInArrow(cut, schema)
+    flat = flat.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema))
+    order = F.xxhash64(F.lit(how.get("seed", SEED)), "shard", "doc_id", "turn", "start")
+    own = {c: F.col("text") if c == "text" else F.col("rest").getField(c) for c in names}
     if "n_chars" in names:
-        flat = flat.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return flat.select(*names, "shard", "turn", "start", order.alias("_order")).repartition("shard").sortWithinPartitions("shard", "_order").drop("_order")
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    placed = flat.withColumn("order", order).repartition("shard").sortWithinPartitions("shard", "order")
+    return placed.select(*[own[c].alias(c) for c in names], F.struct("shard", "turn", "start", "length").alias("_piece"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

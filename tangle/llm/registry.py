@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import fertility, htmltext, mixing, packing, quality, simhash, substrings, topk, toxicity, urlrules
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_substrings": substrings.op1,
         "op2_toxicity": toxicity.op2,
         "op3_mixing": mixing.op3,

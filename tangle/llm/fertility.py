@@ -150,6 +150,7 @@ def bands(measured: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
         away = counts.alias("a").join(middle.alias("b"), same).select(*[F.col(f"a.{c}").alias(c) for c in keys], "middle", "n", "c", F.abs(F.col("v") - F.col("middle")).alias("d"))
         spread = away.groupBy(*keys, "middle", "n").agg(F.percentile("d", 0.5, F.col("c")).alias("spread")).filter(F.col("n") >= (least if k < 3 else 0))
         wide = spread.groupBy(*by).agg(*[f(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}") for m in _MEASURES for c, f in (("middle", F.max), ("spread", F.max))])
+        wide = wide.filter(F.col(f"{_MEASURES[0]}_middle").isNotNull())  # no row for all of nothing
         found.append(wide.select(F.lit(k).alias("level"), *[F.col(c) if c in by else none[c].alias(c) for c in none], *[f"{m}_{c}" for m in _MEASURES for c in ("middle", "spread")]))
     return reduce(DataFrame.unionByName, found)
 

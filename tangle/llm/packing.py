@@ -112,7 +112,7 @@ def _pack(rows: DataFrame, capacity: int) -> DataFrame:
         bins, place, left = best_fit(g["length"].to_numpy(), capacity)
         return g.assign(bin=bins, offset=place, room=left[bins])[[x.split()[0] for x in _PACKED.split(", ")]]
 
-    return rows.groupBy("part").applyInPandas(run, _PACKED)
+    return rows.select(*[x.split()[0] for x in _PIECES.split(", ")], "row", "part").groupBy("part").applyInPandas(run, _PACKED)
 
 
 def _certify(packed: DataFrame, capacity: int) -> DataFrame:
@@ -148,7 +148,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds: in
         spark = rows.sparkSession
         marked = now.join(F.broadcast(spark.createDataFrame(gaps[["part"]].assign(open=True), "part long, open boolean")), "part", "left")  # a row a partition
         loose = F.col("open").isNotNull() & (F.col("room") > 0)
-        held, freed = int(gaps["held"].sum()), marked.filter(loose).select(*rows.columns)
+        held, freed = int(gaps["held"].sum()), marked.filter(loose).select(*[x.split()[0] for x in _PIECES.split(", ")], "row")
         n = freed.count()
         again = C.durable(_pack(deal(freed, min(-(-n // part), max(1, len(gaps) // 2)), turn + 1), capacity))
         bins = again.select("part", "bin").distinct().count()
@@ -165,7 +165,12 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds: in
     tokens = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     certificate = {"sequences": used, "lower_bound": -(-tokens // capacity), "partition_bounds": bound, "rounds": turn}
     sequence = F.col("turn").cast("long") * (1 << 56) + F.col("part") * (1 << 24) + F.col("bin")
-    return out.select(*[c for c in rows.columns if c != "row"], sequence.alias("sequence_id"), "offset"), certificate
+    base = [x.split()[0] for x in _PIECES.split(", ")]
+    more = [c for c in rows.columns if c not in {*base, "row"}]
+    out = out.select("row", *base, sequence.alias("sequence_id"), "offset")
+    if more:  # ids don't take part in the packing; they meet their places afterwards
+        out = out.join(rows.select("row", *more), "row")
+    return out.select(*base, *more, "sequence_id", "offset"), certificate
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

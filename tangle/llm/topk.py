@@ -87,7 +87,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOC
         part = asked if after is None else asked.filter(F.col("vec_id") > after)
         rows = part.orderBy("vec_id").limit(block).collect()  # `block` queries
         after = rows[-1]["vec_id"]
-        found = _select(spark, vectors, Block(np.array([r["vec_id"] for r in rows]), [np.array(r["v"], np.int64) for r in rows], int(top) + 1, k))
+        found = _select(spark, vectors, Block(np.array([r["vec_id"] for r in rows]), [np.array(r["v"], np.int64) for r in rows], int(top or 0) + 1, k))
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 

@@ -24,3 +24,57 @@ def substrings(rows, window=13):
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def fingerprint(text):
+    import xxhash
+
+    words = [w for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    runs = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def groups(fps, distance=2):
+    """fps: (doc_id, fingerprint). doc_id -> smallest doc_id reachable."""
+    root = {i: i for i, _ in fps}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(fps):
+        for j, b in fps[k + 1 :]:
+            if (a ^ b).bit_count() <= distance:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+def base_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    words = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    twice = {w for w in windows if windows.count(w) > 1} if len(windows) < 400 else {w for w, n in __import__("collections").Counter(windows).items() if n > 1}
+    covered = {k + j for k, w in enumerate(windows) if w in twice for j in range(3)}
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(covered)
+
+
+def topk(vectors, k=10):
+    """vectors: (vec_id, list). Rows (query_id, rank, vec_id, score)."""
+    import math
+
+    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, a in good:
+        if q % 100 == 0:
+            s = sorted(((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b)))[:k]
+            out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s)]
+    return out

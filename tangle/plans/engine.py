@@ -14,7 +14,7 @@ from tangle.sources import samples as S
 
 SUPPORTED_METRICS = ("F1", "N1", "N3", "kDN", "CM", "C1")
 NEIGHBOR_METRICS = ("N3", "kDN", "CM", "C1")
-PYCOL_EDGE_CUTOFF = pairs.CUTOFF
+EDGE_CUTOFF = pairs.CUTOFF
 KNN_TIE_POLICY, TIE_POLICY = neighbors.KNN_TIE_POLICY, F_.TIE_POLICY
 
 

@@ -51,6 +51,16 @@ def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """df, written once to the shared folder in `parts` buckets of `key`: joins on it don't move these rows again.
+
+    Give a df that is already partitioned by hash of key into as many parts, so that each task writes one file.
+    """
+    spark, name = df.sparkSession, f"tangle_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, key).sortBy(key).option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size of df's input, 0 where it has none."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

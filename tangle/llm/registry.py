@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": topk.ORACLE_SQL, "op8_host_reputation": urlrules.ORACLE_SQL}
+    return {"op1_substrings": substrings.ORACLE_SQL, "op7_topk": topk.ORACLE_SQL, "op8_host_reputation": urlrules.ORACLE_SQL}

@@ -31,7 +31,9 @@ RUN, DEPTH = 16, 32
 #: An anchor with more entries than this is hot: its windows are sharded one by one.
 HOT = 20_000
 #: Input bytes for each shard of anchors; piece words for each shard of the index.
-ANCHOR_BYTES, SHARD_WORDS = 16 << 20, 1_500_000
+ANCHOR_BYTES, SHARD_WORDS = 16 << 20, 800_000
+#: Input bytes of a bucket of texts.
+TEXT_BYTES = 16 << 20
 #: The place of a document without id: after all others.
 LAST = (1 << 63) - 1
 
@@ -84,9 +86,11 @@ def pieces_of(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, ...]:
+    """The words' bytes with one space between words, their starts and ends, words before each document, and hashes."""
     buf, offs = C.buffers(col)
-    st, en, first = C.word_spans(buf, offs)
-    return buf, offs, st, en, first, C.xxh64_spans(buf, st, en)
+    spans = C.word_spans(buf, offs)
+    buf, st, en = C.squeezed(buf, *spans)
+    return buf, st, en, spans[2], C.xxh64_spans(buf, st, en)
 
 
 _FLAGS = "rk long, starts array<int>, sizes array<int>, anchors array<long>"
@@ -112,7 +116,7 @@ def shared_anchors(docs: DataFrame, window: int, gram: int, hot: int) -> DataFra
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for b in C.batches(it):
+        for b in C.batches(it, C.BATCH_BYTES // 2):
             rk = b.column(0).to_numpy()
             *_, first, h = _words(b.column(1))
             doc, start, n, a = pieces_of(h, first, window, gram)
@@ -287,8 +291,8 @@ def _piece_hash(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _cut(b: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
-    """Flagged pieces of documents (ord, rk, text, starts, sizes, anchors): row, start, words, hash, shard key, word hashes and places."""
-    *_, first, h = _words(b.column(2))
+    """Flagged pieces of documents (ord, rk, text, starts, sizes, anchors): row, start, words, hash, shard key, first byte and end."""
+    buf, st, en, first, h = _words(b.column(2))
     starts = b.column(3)
     offs = starts.offsets.to_numpy()
     row = np.repeat(np.arange(b.num_rows), np.diff(offs))
@@ -304,7 +308,7 @@ def _cut(b: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
         size = np.where(hot, 1, np.repeat(size, each))
     at, words = first[row] + start, size + window - 1
     ph = _piece_hash(h, at, words)
-    return row, start, words, ph, np.where(hot, ph, key) if len(row) else key, h, at
+    return row, start, words, ph, np.where(hot, ph, key) if len(row) else key, buf, st[at], en[at + words - 1]
 
 
 def search_shards(flagged: DataFrame, window: int) -> DataFrame:
@@ -313,28 +317,38 @@ def search_shards(flagged: DataFrame, window: int) -> DataFrame:
     shards = max(1, -(-n // SHARD_WORDS))
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         for b in C.batches(it, C.BATCH_BYTES // 2):
-            row, start, words, ph, key, h, at = _cut(b, window)
+            row, start, words, ph, key, buf, begin, end = _cut(b, window)
             if not len(row):
                 continue
             owner = b.column(0).to_numpy()[row]
             order = np.lexsort((owner, ph))
             cut = np.flatnonzero(np.concatenate([[True], ph[order][1:] != ph[order][:-1]]))
             low, high = order[cut], order[np.append(cut[1:], len(order)) - 1]
-            n = words[low]
-            end = np.cumsum(n)
-            flat = h[np.repeat(at[low] - end + n, n) + np.arange(end[-1])].view(np.int64)
-            offs = pa.array(np.concatenate([[0], end]).astype(np.int32))
             shard = ((key[low] >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ph[low].view(np.int64)), pa.array(owner[low]), pa.array(owner[high]), pa.ListArray.from_arrays(offs, pa.array(flat))], names=["shard", "ph", "low", "high", "words"])
+            by = np.argsort(shard, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1]]))
+            raw, sent = memoryview(buf.tobytes()), []
+            for x, y in zip(cut, [*cut[1:], len(by)], strict=True):
+                one, top = low[by[x:y]], high[by[x:y]]
+                head = ph[one].tobytes() + owner[one].tobytes() + owner[top].tobytes() + words[one].astype("<i8").tobytes()
+                sent.append(squeeze.compress(len(one).to_bytes(8, "little") + head + b" ".join([raw[i:j] for i, j in zip(begin[one].tolist(), end[one].tolist(), strict=True)])))
+            yield pa.RecordBatch.from_arrays([pa.array(shard[by[cut]]), pa.array(sent, pa.binary())], names=["shard", "pieces"])
 
     def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in it if b.num_rows]
+        open_, held = zstandard.ZstdDecompressor(), []
+        for b in it:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = open_.decompress(raw.as_py())
+                n = int.from_bytes(raw[:8], "little")
+                head = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(4, n)
+                text = np.frombuffer(raw, np.uint8, offset=8 + 32 * n)
+                st, en, _ = C.word_spans(text, np.array([0, len(text)]))
+                held.append((np.full(n, k), head[0].view(np.uint64), head[1], head[2], head[3], C.xxh64_spans(text, st, en)))
         if not held:
             return
-        shard, ph, low, high = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(4))
-        flat = np.concatenate([b.column(4).flatten().to_numpy() for b in held]).view(np.uint64)
-        size = np.concatenate([np.diff(b.column(4).offsets.to_numpy()) for b in held]).astype(np.int64)
+        shard, ph, low, high, size, flat = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         at = np.cumsum(size) - size
         for k in np.unique(shard):
@@ -352,10 +366,10 @@ def search_shards(flagged: DataFrame, window: int) -> DataFrame:
                 p, w, least = p[order], w[order], least[order]
                 cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
                 offs = pa.array(np.append(cut, len(p)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(ph[one[p[cut]]]), pa.ListArray.from_arrays(offs, pa.array(w.astype(np.int32))), pa.ListArray.from_arrays(offs, pa.array(least))], names=["ph", "places", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(ph[one[p[cut]]].view(np.int64)), pa.ListArray.from_arrays(offs, pa.array(w.astype(np.int32))), pa.ListArray.from_arrays(offs, pa.array(least))], names=["ph", "places", "least"])
 
     rows = flagged.select("ord", "rk", "text", "starts", "sizes", "anchors")
-    sent = rows.mapInArrow(send, "shard int, ph long, low long, high long, words array<long>")
+    sent = rows.mapInArrow(send, "shard int, pieces binary")
     return sent.repartition(shards, "shard").mapInArrow(index, "ph long, places array<int>, least array<long>")
 
 
@@ -386,15 +400,17 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     own = docs.select(order.alias("ord"), F.xxhash64(order, text_col).alias("rk"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0).alias("_")]).alias("rest"))
     flags = shared_anchors(own, window, gram, hot).groupBy("rk").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "sizes", "anchors")])
-    staged = C.durable(own.join(flags, "rk", "left"))
+    parts = C.shards_for(docs, TEXT_BYTES)
+    staged = C.bucketed(own.repartition(parts, "rk").join(flags.repartition(parts, "rk"), "rk", "left"), "rk", parts)
     flagged = staged.filter("starts is not null")
     found = C.durable(search_shards(flagged, window))
     hits = _members(flagged, window).join(found, "ph")
     smaller = F.filter(F.arrays_zip("places", "least"), lambda z: z["least"] < F.col("ord"))
     hits = hits.select("ord", "rk", F.transform(smaller, lambda z: z["places"] + F.col("start")).alias("windows")).filter("size(windows) > 0")
-    hits = hits.groupBy("ord", "rk").agg(F.flatten(F.collect_list("windows")).alias("windows"))
-    whole = staged.filter("starts is null").select("text", "rest", F.lit(None).cast("array<int>").alias("windows"))
-    cut = flagged.select("ord", "rk", "text", "rest").join(hits, ["ord", "rk"], "left").select("text", "rest", "windows")
+    hits = hits.groupBy("rk", "ord").agg(F.flatten(F.collect_list("windows")).alias("windows")).withColumnRenamed("ord", "own")
+    # by rk alone, which staged lies in buckets of; two documents of one rk are told apart by what cannot be a join key
+    same = (F.col("a.rk") == F.col("b.rk")) & (F.col("a.ord").bitwiseXOR(F.col("b.own")) == 0)
+    rows = staged.alias("a").join(hits.alias("b"), same, "left").select("text", "rest", "windows")
     kind = staged.schema["rest"].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +428,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
             yield pa.RecordBatch.from_arrays([texts, b.column(1), pa.array(np.diff(first)), pa.array(removed), pa.array(spans, _SPANS)], names=["text", "rest", "_n_words", "_n_removed", "_spans"])
 
     schema = f"text string, rest {kind}, _n_words long, _n_removed long, _spans array<struct<start:int,end:int>>"
-    out = whole.mapInArrow(run, schema).unionByName(cut.mapInArrow(run, schema))
+    out = rows.mapInArrow(run, schema)
     return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"rest.`{c}`") for c in names], "_n_words", "_n_removed", "_spans")
 
 
@@ -455,3 +471,15 @@ def op1(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), kept_hash(b.column(3))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return left.select("doc_id", "_n_words", "_n_removed", "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{C.WORD}') AS w FROM documents),
+n AS (SELECT doc_id, array_to_string(w[p : p + {WINDOW - 1}], ' ') AS s, p FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS p FROM d WHERE len(w) >= {WINDOW})),
+f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM n),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + {WINDOW})) AS k FROM f WHERE least < doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t FROM x ANTI JOIN g USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)"""

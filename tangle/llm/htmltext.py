@@ -31,8 +31,10 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog head".split())
 MAIN_TAGS = frozenset("article main".split())
 BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|banner|promo\w*|sponsor\w*|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|cookies?\w*|consent|gdpr|notices?|alert|newsletter|subscribe|signup|login|popup|modal|overlay|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommend\w*|widgets?|footer|header|masthead|copyright|pagination|pager|toolbar|skip)(?=$|[\s_-])", re.I
+    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|banner|promo\w*|sponsor\w*|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|cookies?\w*|consent|gdpr|notices?|alert|newsletter|subscribe|signup|login|popup|modal|overlay|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommend\w*|widgets?|footer|copyright|pagination|pager|toolbar|skip)(?=$|[\s_-])", re.I
 )
+#: Names of page heads; inside an article they hold its title.
+HEAD_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 
 SHORT, LONG = 70, 200
@@ -53,7 +55,7 @@ def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
         return False
     for name, *value in _ATTRIBUTE.findall(attributes):
         value = "".join(value)
-        if name.lower() == "role" and value.lower() in BOILERPLATE_ROLES or name.lower() != "role" and BOILERPLATE_NAMES.search(value):
+        if name.lower() == "role" and value.lower() in BOILERPLATE_ROLES or name.lower() != "role" and (BOILERPLATE_NAMES.search(value) or not inside and HEAD_NAMES.search(value)):
             return True
     return False
 

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 
 from tangle.functions import fisher, scores
 from tangle.operators import forest as F_
-from tangle.operators import neighbors, pairs, scaling
+from tangle.operators import neighbors as N_
+from tangle.operators import pairs, scaling
 from tangle.plans.lineage import cut
 from tangle.sources import samples as S
 
 SUPPORTED_METRICS = ("F1", "N1", "N3", "kDN", "CM", "C1")
 NEIGHBOR_METRICS = ("N3", "kDN", "CM", "C1")
 EDGE_CUTOFF = pairs.CUTOFF
-KNN_TIE_POLICY, TIE_POLICY = neighbors.KNN_TIE_POLICY, F_.TIE_POLICY
+KNN_TIE_POLICY, TIE_POLICY = N_.KNN_TIE_POLICY, F_.TIE_POLICY
 
 
 @dataclass(frozen=True)
@@ -61,9 +62,9 @@ class Geometry:
     _forest: dict[float, DataFrame] = field(default_factory=dict)
 
     def knn(self, k: int) -> DataFrame:
-        neighbors.check_k(k, self.samples.n)
+        N_.check_k(k, self.samples.n)
         if k not in self._knn:
-            self._knn[k] = cut(neighbors.knn(self.scaled, k, size=self.size))
+            self._knn[k] = cut(N_.knn(self.scaled, k, size=self.size))
         return self._knn[k]
 
     def forest(self, cutoff: float = pairs.CUTOFF) -> DataFrame:
@@ -86,18 +87,31 @@ def geometry(samples: S.Samples, *, reference_min=None, reference_max=None, prec
     return Geometry(samples, scaled, list(lo), list(hi), "reference" if given else "input", size)
 
 
+def _known_edges(edges: DataFrame, samples: S.Samples) -> DataFrame:
+    ids = samples.df.select("id")
+    ends = edges.selectExpr("explode(array(lo, hi)) as id")
+    if not ends.join(ids, "id", "left_anti").isEmpty():
+        raise ValueError("edges hold an unknown sample")
+    return edges
+
+
 def compute(
-    df: DataFrame, id_col: str, features, labels, *, metrics=SUPPORTED_METRICS, neighbors: int = 5, multilabel: bool | None = None, label_names=None, reference_min=None, reference_max=None, precision: str = "float32", edge_cutoff: float = pairs.CUTOFF
+    df: DataFrame, id_col: str, features, labels, *, metrics=SUPPORTED_METRICS, neighbors: int = 5, multilabel: bool | None = None, label_names=None, reference_min=None, reference_max=None, precision: str = "float32", edge_cutoff: float = pairs.CUTOFF,
+    prescaled: bool = False, knn_table: DataFrame | None = None, edges: DataFrame | None = None,
 ) -> Result:
     """The requested class-overlap scores of labelled samples.
 
     One validation pass, one scaling, at most one distance pass for the neighbours and one for the forest; F1 alone needs no
-    distances. The driver receives a row a label, class or metric.
+    distances. The driver receives a row a label, class or metric. prescaled: features are used as they are. knn_table
+    (i, rank, j) and edges (lo, hi), if given, take the place of the neighbours and of the forest.
     """
     metrics = check_metrics(metrics)
     wanted = [m for m in metrics if m in NEIGHBOR_METRICS]
     samples = S.load(df, id_col, features, labels, multilabel=multilabel, label_names=label_names, neighbors=neighbors if wanted else None)
-    geo = geometry(samples, reference_min=reference_min, reference_max=reference_max, precision=precision)
+    if prescaled:
+        geo = Geometry(samples, cut(samples.df), [0.0] * samples.width, [1.0] * samples.width, "given")
+    else:
+        geo = geometry(samples, reference_min=reference_min, reference_max=reference_max, precision=precision)
     per: dict[str, dict[str, float]] = {n: {} for n in samples.valid}
     diagnostics = {
         "metrics_requested": list(metrics), "geometry_build_count": int(bool(wanted) or "N1" in metrics), "knn_build_count": int(bool(wanted)),
@@ -111,7 +125,8 @@ def compute(
         diagnostics["components"]["F1"] = {r["label_name"]: {"pair_feature_count": r["pairs"], "zero_denominator_count": r["zero_denominators"]} for r in got}
     if wanted:
         k = neighbors if set(wanted) - {"N3"} else 1
-        inst = cut(scores.instances(geo.knn(k), samples.labels, k))
+        table = geo.knn(k) if knn_table is None else N_.check_neighbors(knn_table, samples.df.select("id"), k)
+        inst = cut(scores.instances(table, samples.labels, k))
         for r in scores.scores(inst, k).collect():
             own = per[r["label_name"]]
             own |= {m: r[m] for m in wanted}
@@ -125,7 +140,7 @@ def compute(
             order = list(samples.class_names)
             classes = {samples.class_names[r["y"]]: r["n3"] for r in sorted(scores.by_class(inst).collect(), key=lambda r: order.index(r["y"]))}
     if "N1" in metrics:
-        edges = geo.forest(F_.check_cutoff(edge_cutoff))
+        edges = geo.forest(F_.check_cutoff(edge_cutoff)) if edges is None else _known_edges(edges, samples)
         count = edges.count()
         diagnostics["components"]["N1"] = {"edge_count": count, "component_count": samples.n - count, "mst_build_count": 1}
         for r in F_.n1_scores(edges, samples.labels).collect():

@@ -200,3 +200,22 @@ def test_streaming_f1(spark, tmp_path):
     got = fisher.pair_ratios(frozen.stats(spark.read.parquet(str(tmp_path / "out/2")))).agg(F.avg("term")).first()[0]
     want = engine.compute(whole, "id", "features", "y", metrics=("F1",), reference_min=[0, 0], reference_max=[1, 1]).metrics["F1"]
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_public_calls(spark):
+    from tangle import api
+
+    df = frame(spark, D, [0, 0, 1, 0, 1, 2, 2, 2])
+    want = engine.compute(df, "id", "features", "y", neighbors=3).metrics
+    geo = api.build_geometry(df, "id", "features", "y")
+    table = api.build_knn_graph(geo, 3, return_distances=False)
+    assert api.compute_neighbor_metrics(table, df, "id", "y", neighbors=3).metrics == pytest.approx({m: want[m] for m in api.NEIGHBOR_METRICS})
+    distances = api.pairwise_distances(df, "id", "features")  # these features are scaled already
+    edges = api.minimum_spanning_forest(distances)
+    assert api.score_n1(edges, df, "id", "y").metrics["N1"] == want["N1"] == api.compute_n1(df, "id", "features", "y", precision="float64").metrics["N1"]
+    assert api.compute_f1(df, "id", "features", "y").metrics["F1"] == pytest.approx(want["F1"], abs=1e-9)
+    key = lambda x: sorted((r.i, r["rank"], r.j) for r in x.collect())
+    assert key(api.build_knn_graph(distances, 3)) == key(table) == key(api.build_knn_graph_blockwise(df, 3, block_size=3))
+    assert api.fixed_range_scale(df, "id", "features").count() == 8
+    with pytest.raises(ValueError, match="unknown"):
+        api.score_n1(edges.selectExpr("lo + 100 as lo", "hi", "w"), df, "id", "y")

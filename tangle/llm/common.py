@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -221,13 +223,17 @@ def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can: workers live on, and keep what they once held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most about `most` bytes; a single longer row stays whole."""
+    """The same rows in batches of at most about `most` bytes; a single longer row stays whole. Memory is trimmed after each."""
     for b in it:
-        if b.num_rows <= 1 or b.nbytes <= 2 * most:
-            if b.num_rows:
-                yield b
-            continue
-        step = max(1, b.num_rows * most // b.nbytes)
+        step = max(1, b.num_rows if b.nbytes <= 1.5 * most else b.num_rows * most // b.nbytes)
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+            trim()

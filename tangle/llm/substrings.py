@@ -176,6 +176,7 @@ def shared_anchors(docs: DataFrame, window: int, gram: int, hot: int) -> DataFra
             return
         a, rk, start, n = (np.concatenate(x) for x in held)
         held.clear()
+        C.trim()
         order = np.argsort(a, kind="stable")
         s = a[order]
         cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -366,6 +367,7 @@ def search_shards(flagged: DataFrame, window: int) -> DataFrame:
                 p, w, least = p[order], w[order], least[order]
                 cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
                 offs = pa.array(np.append(cut, len(p)).astype(np.int32))
+                C.trim()
                 yield pa.RecordBatch.from_arrays([pa.array(ph[one[p[cut]]].view(np.int64)), pa.ListArray.from_arrays(offs, pa.array(w.astype(np.int32))), pa.ListArray.from_arrays(offs, pa.array(least))], names=["ph", "places", "least"])
 
     rows = flagged.select("ord", "rk", "text", "starts", "sizes", "anchors")
@@ -384,9 +386,10 @@ def _members(flagged: DataFrame, window: int) -> DataFrame:
     return flagged.select("ord", "rk", "text", "starts", "sizes", "anchors").mapInArrow(run, "ord long, rk long, ph long, start int")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """docs without the words of windows that a document of smaller id holds: its columns, the text being what is left, and
-    _n_words, _n_removed (words) and _spans (removed runs of words, from and to).
+    _n_words, _n_removed (words) and _spans (removed runs of words, from and to). digest: in place of what is left, the
+    SHA-256 of its words joined by one space, taken where the text is cut so that texts don't travel twice.
 
     Windows are judged on the input. What is left keeps its white space, each removed word taking the white space after it
     along. Null text stays null and counts no word; a document without id comes after all others, and rows of one id never
@@ -414,18 +417,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     kind = staged.schema["rest"].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.batches(it):
+        for b in C.batches(it, C.BATCH_BYTES // 2):
             buf, offs = C.buffers(b.column(0))
             st, en, first = C.word_spans(buf, offs)
-            wins = b.column(2).to_pylist() if b.column(2).null_count < b.num_rows else [None] * b.num_rows
-            texts, removed, spans = b.column(0), np.zeros(b.num_rows, np.int64), [[] for _ in wins]
-            if some := [i for i, w in enumerate(wins) if w]:
+            some = [(i, w.values.to_numpy()) for i, w in enumerate(b.column(2)) if w.is_valid and len(w)]
+            texts, removed, spans = b.column(0), np.zeros(b.num_rows, np.int64), [[]] * b.num_rows
+            if some:
                 texts = texts.to_pylist()
-                for i in some:
-                    texts[i], spans[i] = _without(buf[offs[i] : offs[i + 1]].tobytes(), st[first[i] : first[i + 1]] - offs[i], np.array(wins[i]), window)
+                for i, windows in some:
+                    texts[i], spans[i] = _without(buf[offs[i] : offs[i + 1]].tobytes(), st[first[i] : first[i + 1]] - offs[i], windows, window)
                     removed[i] = sum(s["end"] - s["start"] for s in spans[i])
                 texts = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([texts, b.column(1), pa.array(np.diff(first)), pa.array(removed), pa.array(spans, _SPANS)], names=["text", "rest", "_n_words", "_n_removed", "_spans"])
+            yield pa.RecordBatch.from_arrays([kept_hash(texts) if digest else texts, b.column(1), pa.array(np.diff(first)), pa.array(removed), pa.array(spans, _SPANS)], names=["text", "rest", "_n_words", "_n_removed", "_spans"])
 
     schema = f"text string, rest {kind}, _n_words long, _n_removed long, _spans array<struct<start:int,end:int>>"
     out = rows.mapInArrow(run, schema)
@@ -464,13 +467,8 @@ def kept_hash(col: pa.Array) -> pa.Array:
 
 def op1(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    left = dedup(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.batches(it):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), kept_hash(b.column(3))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return left.select("doc_id", "_n_words", "_n_removed", "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    found = dedup(C.table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("text").alias("kept_sha256"))
 
 
 ORACLE_SQL = rf"""

@@ -94,27 +94,32 @@ def pooled(col: pa.Array, vectors: np.ndarray) -> np.ndarray:
     n = np.diff(first)
     d = vectors.shape[1] // 2
     out = np.zeros((len(n), 3 * d + 6), np.float32)
-    full = np.flatnonzero(n)
-    if not len(full):
+    if not len(u):
         return out
-    for a in range(0, len(full), 256):  # bounded memory
-        rows = full[a : a + 256]
-        lo, hi = first[rows[0]], first[rows[-1] + 1]
-        v = vectors[u[lo:hi]]
-        at = first[rows] - lo
-        size = n[rows][:, None]
-        mean = np.add.reduceat(v, at, axis=0) / size
-        square = np.add.reduceat(v[:, :d] * v[:, :d], at, axis=0) / size
-        out[rows, : 2 * d] = mean
-        out[rows, 2 * d : 3 * d] = np.sqrt(np.maximum(square - mean[:, :d] ** 2, 0))
     doc = np.repeat(np.arange(len(n)), n)
-    share = lambda key: np.bincount(np.unique((doc << 32) | key) >> 32, minlength=len(n)) / np.maximum(n, 1)
+    total, square = np.zeros((len(n), 2 * d)), np.zeros((len(n), d))
+    for a in range(0, len(u), 1 << 16):  # bounded memory, however long a document is
+        v, own = vectors[u[a : a + (1 << 16)]], doc[a : a + (1 << 16)]
+        cut = np.flatnonzero(np.diff(own, prepend=-1))
+        total[own[cut]] += np.add.reduceat(v, cut, axis=0)
+        v = v[:, :d]
+        square[own[cut]] += np.add.reduceat(v * v, cut, axis=0)
+    size = np.maximum(n, 1)[:, None]
+    mean = total / size
+    out[:, : 2 * d] = mean
+    out[:, 2 * d : 3 * d] = np.sqrt(np.maximum(square / size - mean[:, :d] ** 2, 0))
+
+    def share(key: np.ndarray) -> np.ndarray:
+        """Distinct keys of each document, as a share of its units."""
+        k = np.sort((doc << 32) | key)
+        return np.bincount(k[np.flatnonzero(np.diff(k, prepend=-1))] >> 32, minlength=len(n)) / np.maximum(n, 1)
+
     nxt = np.append(u[1:], 0)
     after = np.append(u[2:], [0, 0])[: len(u)]
     out[:, 3 * d] = np.log1p(n) / 8
     out[:, 3 * d + 1] = share(u)
-    out[:, 3 * d + 2] = share((u * 31 + nxt * 7) & 0xFFFFFFFF)
-    out[:, 3 * d + 3] = share((u * 961 + nxt * 31 + after * 17) & 0xFFFFFFFF)
+    out[:, 3 * d + 2] = share((u * len(vectors) + nxt) & 0xFFFFFFFF)
+    out[:, 3 * d + 3] = share(((u * len(vectors) + nxt) * 0x9E3779B1 + after) & 0xFFFFFFFF)
     out[:, 3 * d + 4] = np.bincount(doc, u == nxt, len(n)) / np.maximum(n, 1)
     out[:, 3 * d + 5] = np.linalg.norm(out[:, d : 2 * d], axis=1)
     out[n == 0] = 0

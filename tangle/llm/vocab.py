@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Word forms that a worker remembers; beyond, it starts anew. Bounds its memory, not its results.
-MOST = 600_000
+MOST = 400_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -155,7 +155,8 @@ _coders: dict[str, WordCoder] = {}
 
 
 def coder(name: str) -> WordCoder:
-    """This worker's coder of a vocabulary."""
+    """This worker's coder of a vocabulary; it holds one at a time."""
     if name not in _coders:
+        _coders.clear()
         _coders[name] = WordCoder(name)
     return _coders[name]

@@ -11,6 +11,7 @@
 4. Documents lose every word of a window that a smaller document holds.
 
 Anchors met very often send their windows to shards by the windows' own hashes, so that no shard holds a hot anchor whole.
+Which anchors are hot is decided once for all pieces: at most one anchor in `hot` pieces is.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +109,7 @@ def _flag_batch(rk: np.ndarray, start: np.ndarray, n: np.ndarray, a: np.ndarray)
 
 
 def shared_anchors(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
-    """_FLAGS of docs(rk, text): pieces whose anchor occurs in more than one row key. The size of a hot anchor's piece is negative.
+    """_FLAGS of docs(rk, text): pieces whose anchor occurs in more than one row key; see hot_anchors() for start -1.
 
     A batch sends each anchor once if several of its documents hold it (they are flagged at once), so that an anchor of a
     third of all documents is an entry a batch. Entries travel packed, a message a batch and shard.
@@ -184,16 +186,25 @@ def shared_anchors(docs: DataFrame, window: int, gram: int, hot: int) -> DataFra
         own = rk[order]
         many = (np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut)) | (np.minimum.reduceat(start[order], cut) < 0)
         weight = np.add.reduceat(np.where(start[order] < 0, n[order], 1), cut)
-        sign = np.repeat(np.where(weight > hot, -1, 1), size)
-        keep = np.repeat(many, size) & (start[order] >= 0)
-        order, sign = order[keep], sign[keep]
+        marks = order[cut[many & (weight > hot)]]  # one of its row keys tells that an anchor is hot
+        order = order[np.repeat(many, size) & (start[order] >= 0)]
+        start = np.concatenate([start[order], np.full(len(marks), -1, start.dtype)])
+        n = np.concatenate([n[order], np.zeros(len(marks), n.dtype)])
+        order = np.concatenate([order, marks])
         if len(order):
-            yield pa.RecordBatch.from_arrays(_flag_batch(rk[order], start[order], n[order] * sign, a[order]), names=names[2:])
+            yield pa.RecordBatch.from_arrays(_flag_batch(rk[order], start, n, a[order]), names=names[2:])
 
     sent = docs.select("rk", "text").mapInArrow(send, f"shard int, entries binary, {_FLAGS}")
     return sent.repartition(shards, "shard").mapInArrow(meet, _FLAGS)
 
 
+def hot_anchors(flagged: DataFrame) -> np.ndarray:
+    """Hot anchors, sorted: those that _FLAGS name with start -1."""
+    marks = flagged.select(F.explode(F.filter(F.arrays_zip("starts", "anchors"), lambda z: z["starts"] < 0)).alias("z"))
+    found = marks.select("z.anchors").distinct().toPandas()["anchors"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
 # --- the index ---------------------------------------------------------------------------------------------------
 
 
@@ -291,8 +302,11 @@ def _piece_hash(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cut(b: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
-    """Flagged pieces of documents (ord, rk, text, starts, sizes, anchors): row, start, words, hash, shard key, first byte and end."""
+def _cut(b: pa.RecordBatch, window: int, anchors: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Flagged pieces of documents (ord, rk, text, starts, sizes, anchors): row, start, words, hash, shard key, first byte and end.
+
+    anchors: the hot ones, whose windows are pieces of their own.
+    """
     buf, st, en, first, h = _words(b.column(2))
     starts = b.column(3)
     offs = starts.offsets.to_numpy()
@@ -300,10 +314,10 @@ def _cut(b: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
     start, size, anchor = (b.column(k).values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]] for k in (3, 4, 5))
     start, size, key = start.astype(np.int64), size.astype(np.int64), anchor.view(np.uint64)
     n = np.diff(first)
-    good = start + np.abs(size) + window - 1 <= n[row]  # flags of another text with the same key don't count
+    good = (start >= 0) & (start + size + window - 1 <= n[row])  # flags of another text with the same key don't count
     row, start, size, key = row[good], start[good], size[good], key[good]
-    if (hot := size < 0).any():  # windows one by one, by their own hashes
-        each = np.where(hot, -size, 1)
+    if (hot := np.isin(key, anchors)).any():  # windows one by one, by their own hashes
+        each = np.where(hot, size, 1)
         up = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         row, start, key, hot = np.repeat(row, each), np.repeat(start, each) + up, np.repeat(key, each), np.repeat(hot, each)
         size = np.where(hot, 1, np.repeat(size, each))
@@ -312,15 +326,15 @@ def _cut(b: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
     return row, start, words, ph, np.where(hot, ph, key) if len(row) else key, buf, st[at], en[at + words - 1]
 
 
-def search_shards(flagged: DataFrame, window: int) -> DataFrame:
+def search_shards(flagged: DataFrame, window: int, anchors: Broadcast) -> DataFrame:
     """(ph, places, least): for each distinct piece of flagged documents whose windows a smaller document holds."""
-    n = flagged.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + F.abs(x) + (window - 1)))).first()[0] or 0
+    n = flagged.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x + (window - 1)))).first()[0] or 0
     shards = max(1, -(-n // SHARD_WORDS))
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in C.batches(it, C.BATCH_BYTES // 2):
-            row, start, words, ph, key, buf, begin, end = _cut(b, window)
+            row, start, words, ph, key, buf, begin, end = _cut(b, window, anchors.value)
             if not len(row):
                 continue
             owner = b.column(0).to_numpy()[row]
@@ -375,12 +389,12 @@ def search_shards(flagged: DataFrame, window: int) -> DataFrame:
     return sent.repartition(shards, "shard").mapInArrow(index, "ph long, places array<int>, least array<long>")
 
 
-def _members(flagged: DataFrame, window: int) -> DataFrame:
+def _members(flagged: DataFrame, window: int, anchors: Broadcast) -> DataFrame:
     """(ord, rk, ph, start) of every flagged piece."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.batches(it, C.BATCH_BYTES // 2):
-            row, start, _, ph, *_ = _cut(b, window)
+            row, start, _, ph, *_ = _cut(b, window, anchors.value)
             yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row]), pa.array(b.column(1).to_numpy()[row]), pa.array(ph.view(np.int64)), pa.array(start.astype(np.int32))], names=["ord", "rk", "ph", "start"])
 
     return flagged.select("ord", "rk", "text", "starts", "sizes", "anchors").mapInArrow(run, "ord long, rk long, ph long, start int")
@@ -406,8 +420,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     parts = C.shards_for(docs, TEXT_BYTES)
     staged = C.bucketed(own.repartition(parts, "rk").join(flags.repartition(parts, "rk"), "rk", "left"), "rk", parts)
     flagged = staged.filter("starts is not null")
-    found = C.durable(search_shards(flagged, window))
-    hits = _members(flagged, window).join(found, "ph")
+    anchors = docs.sparkSession.sparkContext.broadcast(hot_anchors(flagged))
+    found = C.durable(search_shards(flagged, window, anchors))
+    hits = _members(flagged, window, anchors).join(found, "ph")
     smaller = F.filter(F.arrays_zip("places", "least"), lambda z: z["least"] < F.col("ord"))
     hits = hits.select("ord", "rk", F.transform(smaller, lambda z: z["places"] + F.col("start")).alias("windows")).filter("size(windows) > 0")
     hits = hits.groupBy("rk", "ord").agg(F.flatten(F.collect_list("windows")).alias("windows")).withColumnRenamed("ord", "own")

@@ -2,7 +2,8 @@
 
 Per document: characters per token, share of byte-fallback tokens, token entropy in bits. Bands around the median of each
 (language, length octave), calibrated over all documents that pass the base rules, reject what the vocabulary finds odd.
-Groups of too few documents take the band of their language, then of their script, then of all.
+Groups of too few documents take the band of their language, then of their script. Where the script has too few as well,
+documents take the band of all if over half of all have their script, or if they have no letters; else none rejects them.
 """
 
 from __future__ import annotations
@@ -33,8 +34,23 @@ LEAST_GROUP = 200
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
-#: First bytes of UTF-8 sequences by script, coarse: fixed values from the Unicode blocks.
-SCRIPTS = {"latin": (0x41, 0xCD), "greek": (0xCE, 0xCF), "cyrillic": (0xD0, 0xD4), "semitic": (0xD5, 0xDF), "indic": (0xE0, 0xE1), "cjk": (0xE3, 0xED)}
+#: Scripts by blocks of 64 code points: first and last code point, coarse where a block holds two. Other letters: "other".
+BLOCKS = (
+    ("latin", 0xC0, 0x2BF), ("greek", 0x380, 0x3FF), ("cyrillic", 0x400, 0x53F), ("armenian", 0x540, 0x5BF), ("hebrew", 0x5C0, 0x5FF), ("arabic", 0x600, 0x6FF),
+    ("syriac", 0x700, 0x73F), ("arabic", 0x740, 0x77F), ("thaana", 0x780, 0x7BF), ("other", 0x7C0, 0x8BF), ("arabic", 0x8C0, 0x8FF),
+    ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("gurmukhi", 0xA00, 0xA7F), ("gujarati", 0xA80, 0xAFF), ("oriya", 0xB00, 0xB7F), ("tamil", 0xB80, 0xBFF),
+    ("telugu", 0xC00, 0xC7F), ("kannada", 0xC80, 0xCFF), ("malayalam", 0xD00, 0xD7F), ("sinhala", 0xD80, 0xDFF), ("thai", 0xE00, 0xE7F), ("lao", 0xE80, 0xEFF),
+    ("tibetan", 0xF00, 0xFFF), ("myanmar", 0x1000, 0x107F), ("georgian", 0x1080, 0x10FF), ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x13BF),
+    ("other", 0x13C0, 0x177F), ("khmer", 0x1780, 0x17FF), ("mongolian", 0x1800, 0x18BF), ("other", 0x18C0, 0x1D7F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF),
+    ("other", 0x2C00, 0x2DFF), ("kana", 0x3040, 0x30FF), ("other", 0x3100, 0x317F), ("han", 0x3400, 0x9FFF), ("other", 0xA000, 0xABFF), ("hangul", 0xAC00, 0xD7FF),
+    ("han", 0xF900, 0xFAFF), ("kana", 0xFF40, 0xFFBF),
+)
+SCRIPTS = [*dict.fromkeys(b[0] for b in BLOCKS), "none"]
+_BLOCK = np.full(1024, len(SCRIPTS) - 1)
+for _name, _a, _z in BLOCKS:
+    _BLOCK[_a >> 6 : (_z >> 6) + 1] = SCRIPTS.index(_name)
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 
 _MEASURES = ("chars_per_token", "byte_share", "entropy")
 _SCHEMA = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, byte_share double, entropy double"
@@ -59,6 +75,24 @@ def _earlier(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return earlier, other
 
 
+def scripts_of(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The script of most letters of each document, "none" without letters. Han beside kana, over one in ten, is kana."""
+    n, none = len(offs) - 1, len(SCRIPTS) - 1
+    lead = np.flatnonzero(buf >= 0xC0)
+    b = buf[lead].astype(np.int64)
+    up = buf[np.minimum(lead + 1, len(buf) - 1)].astype(np.int64) & 0x3F
+    kind = _BLOCK[np.where(b < 0xE0, b & 0x1F, (b & 0xF) << 6 | up)]
+    far = (b & 7) << 6 | up  # beyond the blocks, by 4096 code points: ideographs, symbols, other scripts
+    kind = np.where(b < 0xF0, kind, np.where(far >= 0x20, SCRIPTS.index("han"), np.where(far == 0x1F, none, SCRIPTS.index("other"))))
+    doc = np.searchsorted(offs, lead, side="right") - 1
+    count = np.bincount(doc * len(SCRIPTS) + kind, minlength=n * len(SCRIPTS)).reshape(n, len(SCRIPTS))
+    count[:, none] = 0
+    count[:, SCRIPTS.index("latin")] += _per(_LETTER.take(buf), offs)
+    kana, han = count[:, SCRIPTS.index("kana")], count[:, SCRIPTS.index("han")]
+    kana += np.where(10 * kana > han, han, 0)
+    return np.array(SCRIPTS)[np.where(count.max(axis=1) > 0, count.argmax(axis=1), none)]
+
+
 def base_counts(buf: np.ndarray, offs: np.ndarray, st: np.ndarray, en: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     """word_chars, n_symbols, n_dup_lines and n_repeat_words of every document."""
     n = np.diff(first)
@@ -110,9 +144,7 @@ def measure(docs: DataFrame, vocabulary: str = VOCABULARY, byte_ids: tuple[int,
             count = np.diff(np.append(cut, len(runs)))
             part = np.bincount(runs[cut] >> 32, count * np.log2(count), len(n))
             some = np.maximum(tokens, 1)
-            script = [_per((buf >= a) & (buf <= z), offs) for a, z in SCRIPTS.values()]
-            kinds = np.array([*SCRIPTS, "none"])
-            script = kinds[np.where(np.max(script, axis=0) > 0, np.argmax(script, axis=0), len(SCRIPTS))]
+            script = scripts_of(buf, offs)
             failed = (n < LEAST_WORDS) | (100 * got["n_repeat_words"] > MOST_REPEATED * n)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(script.tolist(), pa.string()), *[pa.array(got[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -132,7 +164,8 @@ def _octave() -> Column:
 def bands(measured: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
     """(level, lang, script, octave, n and for each measure its middle and spread): one row a group, over all that passed.
 
-    Levels: 0 language and octave, 1 language, 2 script, 3 all. Medians come from histograms of the rounded measures, so
+    Levels: 0 language and octave, 1 language, 2 script, 3 all; the script of level 3 is the one that over half of all have,
+    if any. Medians come from histograms of the rounded measures, so
     that each is exact for them and a group costs a bounded number of counts however many documents it has.
     """
     ok = measured.filter("not base_failed").withColumn("octave", _octave())
@@ -152,6 +185,9 @@ def bands(measured: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
         wide = spread.groupBy(*by).agg(*[f(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}") for m in _MEASURES for c, f in (("middle", F.max), ("spread", F.max))])
         wide = wide.filter(F.col(f"{_MEASURES[0]}_middle").isNotNull())  # no row for all of nothing
         found.append(wide.select(F.lit(k).alias("level"), *[F.col(c) if c in by else none[c].alias(c) for c in none], *[f"{m}_{c}" for m in _MEASURES for c in ("middle", "spread")]))
+    each = fine.filter(F.col("measure") == _MEASURES[0]).groupBy("script").agg(F.sum("c").alias("c"))
+    main = each.agg(F.when(2 * F.max("c") > F.sum("c"), F.max_by("script", "c")).alias("main"))
+    found[3] = found[3].crossJoin(F.broadcast(main)).withColumn("script", F.col("main")).drop("main")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -174,11 +210,12 @@ def judge(docs: DataFrame, width: float = WIDTH, joint: float = JOINT, least: in
         rows = rows.join(F.broadcast(pick(0, "b0")), F.col("lang").eqNullSafe(F.col("name0")) & (F.col("octave") == F.col("octave0")), "left")
         rows = rows.join(F.broadcast(pick(1, "b1")), F.col("lang").eqNullSafe(F.col("name1")), "left")
         rows = rows.join(F.broadcast(pick(2, "b2")), F.col("script") == F.col("name2"), "left")
-        rows = rows.join(F.broadcast(pick(3, "b3")), F.lit(True), "left").withColumn("band", F.coalesce("b0", "b1", "b2", "b3"))
+        rows = rows.join(F.broadcast(pick(3, "b3")), (F.col("script") == F.col("name3")) | (F.col("script") == "none"), "left").withColumn("band", F.coalesce("b0", "b1", "b2", "b3"))
         away = {m: (F.col(m) - F.col(f"band.{m}_middle")) / F.greatest(1.4826 * F.col(f"band.{m}_spread"), F.lit(FLOOR[m])) for m in _MEASURES}
         for m in _MEASURES:
             inside &= F.abs(away[m]) <= width
         inside &= ~((away["chars_per_token"] < -joint) & (away["entropy"] < -joint))
+        inside |= F.col("band").isNull()
     kept = ~F.col("base_failed") & inside
     return rows.select(*own.columns, kept.alias("kept"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -12,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of one Arrow batch handed to Python; bounds a worker's memory whatever the rows' lengths.
 BATCH_BYTES = 8 << 20
@@ -46,9 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: What this process has written to the shared folder and not deleted yet: plain path -> (session, path, table of the catalog or None).
+_written: dict[str, tuple[SparkSession, str, str | None]] = {}
+
+
+def _plain(path: str) -> str:
+    return path.removeprefix("file:").lstrip("/")
+
+
+def new_folder(spark: SparkSession, table: str | None = None) -> str:
+    """A folder of one's own in the shared one, still to be written; see discard()."""
+    path = f"{shared_dir(spark).rstrip('/')}/tangle-{uuid.uuid4().hex}"
+    _written[_plain(path)] = (spark, path, table)
+    return path
+
+
 def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df, written once to the shared folder and read again: lineage is cut and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tangle-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,13 +73,94 @@ def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
 def bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
     """df, written once to the shared folder in `parts` buckets of `key`: joins on it don't move these rows again.
 
-    Give a df that is already partitioned by hash of key into as many parts, so that each task writes one file.
+    Give a df of whose tasks each holds few buckets, so that there are few files.
     """
     spark, name = df.sparkSession, f"tangle_{uuid.uuid4().hex}"
-    df.write.bucketBy(parts, key).sortBy(key).option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").format("parquet").saveAsTable(name)
+    path = new_folder(spark, name)
+    df.write.bucketBy(parts, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
+def written() -> set[str]:
+    """What durable() and bucketed() have written and nobody has deleted."""
+    return set(_written)
+
+
+def discard(folders) -> None:
+    """Deletes such folders. DataFrames that read them are of no use afterwards."""
+    for folder in [x for x in folders if x in _written]:
+        spark, path, name = _written.pop(folder)
+        if spark.sparkContext._jsc is None:  # the session has been stopped
+            continue
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sources(df: DataFrame) -> set[str] | None:
+    """The root folders that df reads; None if it reads from anything but files and literal rows."""
+    found, leaves = set(), df._jdf.queryExecution().analyzed().collectLeaves()
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            found |= {_plain(roots.apply(i).toString()) for i in range(roots.size())}
+        elif kind not in ("LocalRelation", "OneRowRelation", "Range", "EmptyRelation"):
+            return None
+    return found
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the folders of what durable() or bucketed() have returned, once nothing will read them any more."""
+    for df in frames:
+        discard(sources(df) or ())
+
+
+@atexit.register
+def _discard_all() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        discard(list(_written))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame, *without: str) -> list[Column]:
+    """df's columns by quoted names, which may hold dots."""
+    return [F.col(quoted(c)) for c in df.columns if c not in without]
+
+
+def schema_of(df: DataFrame, **more) -> StructType:
+    """df's schema and further fields, for functions over Arrow batches: as types, since names may hold any character."""
+    return StructType([*df.schema.fields, *[StructField(k, t) for k, t in more.items()]])
+
+
+#: A key is hot if more than one in HOT_SHARE of all rows have it, and HOT_LEAST at least: there can be HOT_SHARE such keys at most.
+HOT_SHARE, HOT_LEAST, SALTS = 1000, 10_000, 64
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner", least: int | None = None) -> DataFrame:
+    """rows joined with table(keys, count, ...), which has one row a key; `count` tells how many of rows have the key.
+
+    Rows of hot keys are dealt by a salt as well and meet copies of the key's row of the table. The list of hot keys has at
+    most HOT_SHARE entries whatever the data, so it is broadcast; it must be cheap to compute, as table is read twice.
+    """
+    limit = F.greatest(F.sum(count) / HOT_SHARE, F.lit(float(HOT_LEAST if least is None else least)))
+    limit = table.agg(limit.alias("limit")).first()["limit"]
+    hot = F.col(count) > F.lit(limit if limit is not None else 0.0)
+    few = table.filter(hot).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]).limit(HOT_SHARE + 1).withColumn("_hot", F.lit(True))
+    on = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
+    for x in on[1:]:
+        on[0] = on[0] & x
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*columns(rows), F.spark_partition_id()), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = rows.join(F.broadcast(few), on[0], "left").withColumn("_salt", salt).drop("_hot", *[f"_hot_{k}" for k in keys])
+    right = table.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size of df's input, 0 where it has none."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -193,16 +291,17 @@ def squeezed(buf: np.ndarray, st: np.ndarray, en: np.ndarray, first: np.ndarray)
 # --- graphs ------------------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root): the smallest node reachable from each node of edges(a, b), by alternating large and small stars.
 
     Every round is two aggregations and two joins on the node, all of them distributed; no node's neighbours are ever
     gathered, so that a hub costs no more than its share of edges, and AQE may split its join. Rounds are written to
-    the shared folder. Self-loops are allowed and give single nodes.
+    the shared folder and deleted when the next one is. Self-loops are allowed and give single nodes. Rounds grow with the
+    logarithm of the longest path; `rounds` of them are more than any graph that fits a cluster needs, beyond is an error.
     """
-    e = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    first = e = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    e = e.filter("u <> v")
+    e, last = e.filter("u <> v"), []
     before = None
     for _ in range(rounds):
         both = e.union(e.select("v", "u"))
@@ -212,9 +311,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "u")
         small = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = durable(small)
+        drop(*last)
+        last = [e]
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first())
         if now == before or now[0] == now[2] and not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
-            return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+            found = durable(nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+            drop(e, first)
+            return found
         before = now
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 

@@ -68,13 +68,13 @@ def base_counts(text):
 
 
 def topk(vectors, k=10):
-    """vectors: (vec_id, list). Rows (query_id, rank, vec_id, score)."""
+    """vectors: (vec_id, list). Rows (query_id, rank, vec_id, score), for each query row against every row but itself."""
     import math
 
-    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in vectors if v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in good:
-        if q % 100 == 0:
-            s = sorted(((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b)))[:k]
-            out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s)]
+    for n, (q, a) in enumerate(good):
+        if q is not None and q % 100 == 0:
+            s = sorted(((-sum(x * y for x, y in zip(a, b, strict=True)), i is None, i) for m, (i, b) in enumerate(good) if m != n and len(a) == len(b)))[:k]
+            out += [(q, r + 1, i, -x) for r, (x, _, i) in enumerate(s)]
     return out

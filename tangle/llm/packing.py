@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +30,30 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, capacity: int = CAPACITY, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of every row: doc_id, piece, start, length, ids_crc32 (and ids, if asked for). Null text: the end id alone."""
+    """Pieces of every row: doc_id, piece, start, length, ids_crc32 (and ids, if asked for).
+
+    Null or empty text: the end id alone. Very long texts make as many pieces as they need; repeated rows are pieces of their
+    own; a null doc_id stays null; no rows give none. Strings of the vocabulary's added tokens are those tokens.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocab.coder(vocabulary)
         for b in C.batches(it, C.BATCH_BYTES // 2):
-            buf, offs = C.buffers(b.column(1))
+            texts = b.column(1)
+            odd = words.holds_added(texts)
+            if len(odd):  # read as a whole, below
+                plain = np.ones(len(texts), bool)
+                plain[odd] = False
+                texts = pc.if_else(pa.array(plain), texts, "")
+            buf, offs = C.buffers(texts)
             st, en, first = C.word_spans(buf, offs)
             flat, n = words.ids_of(buf, st, en)
             upto = np.concatenate([[0], np.cumsum(n)])[first]  # ids before each document, ends left out
             size = np.diff(upto) + 1
+            if len(odd):
+                own_ids = [words.text_ids(b.column(1)[i].as_py()) for i in odd.tolist()]
+                flat = np.insert(flat, np.repeat(upto[odd], [len(x) for x in own_ids]), np.concatenate(own_ids))
+                size[odd] += [len(x) for x in own_ids]
             to = np.concatenate([[0], np.cumsum(size)])
             out = np.full(to[-1], end, "<u4")
             own = np.ones(to[-1], bool)

@@ -2,14 +2,19 @@
 
 In both vocabularies no token crosses white space, so a text's ids are its words' ids in a row. Files are read on the
 workers from the installed package public_tokenizers, or from a path given as a parameter.
+
+Strings of a vocabulary's added tokens (such as <|endoftext|>) are one id each, as the tokenizers library has it. They may
+stand anywhere in a text, so that a text which holds one goes to the tokeniser whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Word forms that a worker remembers; beyond, it starts anew. Bounds its memory, not its results.
 MOST = 400_000
@@ -24,17 +29,21 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def _encoder(path: str):
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda words: model.encode(words, num_threads=1)
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
+    model = tokenizer(path)
+    model.encode_special_tokens = True  # words never hold them: see WordCoder.added
     plain = lambda words: [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)]
     if not _folds(path):
         return plain
@@ -63,8 +72,6 @@ def _folds(path: str) -> bool:
     """Whether a vocabulary lower-cases its text, parts letters from other characters and marks word ends."""
     if not path.endswith(".json"):
         return False
-    import json
-
     with open(path) as f:
         own = json.load(f)
     return "Lowercase" in json.dumps(own["normalizer"]) and "[\\\\p{L}]+|[\\\\p{N}]|" in json.dumps(own["pre_tokenizer"]) and own["model"].get("end_of_word_suffix") == "</w>"
@@ -83,8 +90,26 @@ class WordCoder:
     def __init__(self, name: str):
         path = vocabulary_path(name)
         self.encode, self.folds = _encoder(path), _folds(path)
+        self.path, self.whole = path, None
+        self.added: list[str] = []
+        if path.endswith(".json"):
+            with open(path) as f:
+                self.added = [t["content"] for t in json.load(f)["added_tokens"]]
         self.reset()
 
+    def holds_added(self, col: pa.Array) -> np.ndarray:
+        """Rows whose text holds the string of an added token."""
+        hit = np.zeros(len(col), bool)
+        for t in self.added:
+            hit |= pc.fill_null(pc.match_substring(col, t), False).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(hit)
+
+    def text_ids(self, text: str) -> np.ndarray:
+        """The ids of a whole text, added tokens included."""
+        if self.whole is None:
+            self.whole = tokenizer(self.path)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int64)
+
     def reset(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.at, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)

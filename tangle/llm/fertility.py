@@ -9,12 +9,13 @@ documents take the band of all if over half of all have their script, or if they
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common as C
 from . import vocab
@@ -31,6 +32,8 @@ FLOOR = {"chars_per_token": 0.03, "byte_share": 0.02, "entropy": 0.1}
 #: Steps to which measures are rounded for the medians, so that a group's histogram stays small whatever its size.
 STEP = {"chars_per_token": 0.01, "byte_share": 0.001, "entropy": 0.02}
 LEAST_GROUP = 200
+#: Bands that may be broadcast, some 100 bytes each.
+FEW = 50_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -63,11 +66,9 @@ def _per(count: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _earlier(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each item whether an earlier one, and whether any other one, of its document has its key."""
-    with np.errstate(over="ignore"):
-        own = key ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(own, kind="stable")
-    s = own[order]
-    same = s[1:] == s[:-1]
+    order = np.lexsort((key, doc))  # keys meet those of their own document only
+    s, d = key[order], doc[order]
+    same = (s[1:] == s[:-1]) & (d[1:] == d[:-1])
     earlier, other = np.zeros(len(key), bool), np.zeros(len(key), bool)
     earlier[order[1:]] = same
     other[order[1:]] = same
@@ -123,9 +124,10 @@ def base_counts(buf: np.ndarray, offs: np.ndarray, st: np.ndarray, en: np.ndarra
 
 
 def measure(docs: DataFrame, vocabulary: str = VOCABULARY, byte_ids: tuple[int, int] = BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
-    """Counts and fertility of every row. Null text: no word; its measures are 0. A null lang is a language of its own.
+    """Counts and fertility of every row. Null or empty text: no word; its measures are 0. A null lang is a language of its
+    own; very long texts are measured whole.
 
-    carry: the whole row comes along as struct `row`.
+    carry: the whole row comes along as struct `row`, whatever the names of its columns.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,70 +154,84 @@ def measure(docs: DataFrame, vocabulary: str = VOCABULARY, byte_ids: tuple[int,
                 names=names,
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), *[F.struct(*docs.columns).alias("row")] * carry)
+    row = F.struct(*C.columns(docs)).alias("row")
+    rows = docs.select(F.col(C.quoted(id_col)).cast("long").alias("doc_id"), F.col(C.quoted(text_col)).alias("text"), F.col(C.quoted(lang_col)).cast("string").alias("lang"), *[row] * carry)
     names = [x.split()[0] for x in _SCHEMA.split(", ")] + ["row"] * carry
-    return rows.mapInArrow(run, _SCHEMA + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""))
+    schema = StructType.fromDDL(_SCHEMA)
+    return rows.mapInArrow(run, schema.add(rows.schema["row"]) if carry else schema)
 
 
 def _octave() -> Column:
     return F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")
 
 
+def _middle(value: np.ndarray, count: np.ndarray) -> float:
+    """The median of values that come count times each."""
+    order = np.argsort(value, kind="stable")
+    upto = np.cumsum(count[order])
+    n = int(upto[-1])
+    return float(value[order][np.searchsorted(upto, [(n - 1) // 2, n // 2], side="right")].mean())
+
+
+_STATS = "level int, lang string, script string, octave int, measure string, n long, middle double, spread double"
+
+
 def bands(measured: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
     """(level, lang, script, octave, n and for each measure its middle and spread): one row a group, over all that passed.
 
     Levels: 0 language and octave, 1 language, 2 script, 3 all; the script of level 3 is the one that over half of all have,
-    if any. Medians come from histograms of the rounded measures, so
-    that each is exact for them and a group costs a bounded number of counts however many documents it has.
+    if any. Medians come from histograms of the rounded measures, so that each is exact for them and a group costs a bounded
+    number of counts however many documents it has. All levels are added up from the finest counts in one go.
     """
     ok = measured.filter("not base_failed").withColumn("octave", _octave())
-    levels = (["lang", "octave"], ["lang"], ["script"], [])
-    found = []
-    none = {"lang": F.lit(None).cast("string"), "script": F.lit(None).cast("string"), "octave": F.lit(None).cast("int")}
     steps = ok.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) / STEP[m]).cast("long").alias("v")) for m in _MEASURES])), "lang", "script", "octave")
-    fine = steps.groupBy("lang", "script", "octave", "measure", "v").agg(F.count("*").alias("c"))  # counts; everything below reads these
-    fine = C.durable(fine)
-    for k, by in enumerate(levels):
-        keys = [*by, "measure"]
-        counts = fine.groupBy(*keys, "v").agg(F.sum("c").alias("c"))
-        middle = counts.groupBy(*keys).agg(F.percentile("v", 0.5, F.col("c")).alias("middle"), F.sum("c").alias("n"))
-        same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys])
-        away = counts.alias("a").join(middle.alias("b"), same).select(*[F.col(f"a.{c}").alias(c) for c in keys], "middle", "n", "c", F.abs(F.col("v") - F.col("middle")).alias("d"))
-        spread = away.groupBy(*keys, "middle", "n").agg(F.percentile("d", 0.5, F.col("c")).alias("spread")).filter(F.col("n") >= (least if k < 3 else 0))
-        wide = spread.groupBy(*by).agg(*[f(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}") for m in _MEASURES for c, f in (("middle", F.max), ("spread", F.max))])
-        wide = wide.filter(F.col(f"{_MEASURES[0]}_middle").isNotNull())  # no row for all of nothing
-        found.append(wide.select(F.lit(k).alias("level"), *[F.col(c) if c in by else none[c].alias(c) for c in none], *[f"{m}_{c}" for m in _MEASURES for c in ("middle", "spread")]))
-    each = fine.filter(F.col("measure") == _MEASURES[0]).groupBy("script").agg(F.sum("c").alias("c"))
-    main = each.agg(F.when(2 * F.max("c") > F.sum("c"), F.max_by("script", "c")).alias("main"))
-    found[3] = found[3].crossJoin(F.broadcast(main)).withColumn("script", F.col("main")).drop("main")
-    return reduce(DataFrame.unionByName, found)
-
-
-def judge(docs: DataFrame, width: float = WIDTH, joint: float = JOINT, least: int = LEAST_GROUP, **how) -> DataFrame:
+    fine = C.durable(steps.groupBy("lang", "script", "octave", "measure", "v").agg(F.count("*").alias("c")))  # everything below reads these
+    none, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    levels = (("lang", none, "octave"), ("lang", none, number), (none, "script", number), (none, none, number))
+    each = F.array(*[F.struct(F.lit(k).alias("level"), *[(F.col(x) if isinstance(x, str) else x).alias(c) for x, c in zip(by, ("lang", "script", "octave"), strict=True)]) for k, by in enumerate(levels)])
+    group = ["level", "lang", "script", "octave"]
+    counts = fine.select(F.explode(each).alias("to"), "measure", "v", "c").select("to.*", "measure", "v", "c").groupBy(*group, "measure", "v").agg(F.sum("c").alias("c"))
+
+    def stats(g: pd.DataFrame) -> pd.DataFrame:
+        v, c = g["v"].to_numpy(np.float64), g["c"].to_numpy(np.int64)
+        middle = _middle(v, c)
+        return g.iloc[:1][[*group, "measure"]].assign(n=int(c.sum()), middle=middle, spread=_middle(np.abs(v - middle), c))
+
+    found = counts.groupBy(*group, "measure").applyInPandas(stats, _STATS).filter((F.col("n") >= least) | (F.col("level") == 3))
+    wide = found.groupBy(*group).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}") for m in _MEASURES for c in ("middle", "spread")])
+    scripts = {r["script"]: r["c"] for r in fine.filter(F.col("measure") == _MEASURES[0]).groupBy("script").agg(F.sum("c").alias("c")).collect()}  # a row for each of SCRIPTS
+    main = next((k for k, c in scripts.items() if 2 * c > sum(scripts.values())), None)
+    return wide.withColumn("script", F.when(F.col("level") == 3, F.lit(main).cast("string")).otherwise(F.col("script")))
+
+
+def judge(docs: DataFrame, width: float = WIDTH, joint: float = JOINT, least: int = LEAST_GROUP, few: int = FEW, **how) -> DataFrame:
     """measure() of every row with kept: false if the base rules fail or any measure is out of its group's band.
 
     Repeated rows are judged alike; no rows give no rows. With no document that passes the base rules there is no band.
+    Up to `few` bands of languages are broadcast; where languages are as many as that, rows meet them by a join instead,
+    common ones by salts, with the same result.
     """
     own = C.durable(measure(docs, **how))
-    found = C.durable(bands(own, least)).collect()  # a row for each language (and octave) of over `least` documents
-    table = {(r["level"], r["lang"], r["octave"]) if r["level"] < 2 else (r["level"], r["script"], None): r for r in found}
+    columns = [f"{m}_{c}" for m in _MEASURES for c in ("middle", "spread")]
+    given = C.durable(bands(own, least)).withColumns({f"{m}_{c}": F.col(f"{m}_{c}") * STEP[m] for m in _MEASURES for c in ("middle", "spread")})
+    key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))  # a null lang is a language
+    rows = own.withColumns({"_lang": key, "_octave": _octave()})
+    band = F.struct(*columns)
+    small = given.count() <= few
+    for k, keys in ((0, ["_lang", "_octave"]), (1, ["_lang"])):
+        table = given.filter(f"level = {k}").select(key.alias("_lang"), *[F.col("octave").alias("_octave")] * (k == 0), "n", band.alias(f"_b{k}"))
+        rows = rows.join(F.broadcast(table.drop("n")), keys, "left") if small else C.join_hot(rows, table, keys, "n", "left").drop("n")
+    table = given.filter("level = 2").select(F.col("script").alias("_script2"), band.alias("_b2"))
+    rows = rows.join(F.broadcast(table), F.col("script") == F.col("_script2"), "left")  # a row a script at most
+    table = given.filter("level = 3").select(F.col("script").alias("_script3"), band.alias("_b3"))
+    rows = rows.join(F.broadcast(table), (F.col("script") == F.col("_script3")) | (F.col("script") == "none"), "left")  # one row
+    rows = rows.withColumn("_band", F.coalesce("_b0", "_b1", "_b2", "_b3"))
     inside = F.lit(True)
-    rows = own.withColumn("octave", _octave())
-    if found:
-        spark = docs.sparkSession
-        flat = [(*k, *[float(r[f"{m}_{c}"]) * STEP[m] for m in _MEASURES for c in ("middle", "spread")]) for k, r in table.items()]
-        columns = [f"{m}_{c}" for m in _MEASURES for c in ("middle", "spread")]
-        given = spark.createDataFrame(flat, "level int, name string, octave int, " + ", ".join(f"`{c}` double" for c in columns))
-        pick = lambda k, p: given.filter(f"level = {k}").select(F.col("name").alias(f"name{k}"), F.col("octave").alias(f"octave{k}"), F.struct(*columns).alias(p))
-        rows = rows.join(F.broadcast(pick(0, "b0")), F.col("lang").eqNullSafe(F.col("name0")) & (F.col("octave") == F.col("octave0")), "left")
-        rows = rows.join(F.broadcast(pick(1, "b1")), F.col("lang").eqNullSafe(F.col("name1")), "left")
-        rows = rows.join(F.broadcast(pick(2, "b2")), F.col("script") == F.col("name2"), "left")
-        rows = rows.join(F.broadcast(pick(3, "b3")), (F.col("script") == F.col("name3")) | (F.col("script") == "none"), "left").withColumn("band", F.coalesce("b0", "b1", "b2", "b3"))
-        away = {m: (F.col(m) - F.col(f"band.{m}_middle")) / F.greatest(1.4826 * F.col(f"band.{m}_spread"), F.lit(FLOOR[m])) for m in _MEASURES}
-        for m in _MEASURES:
-            inside &= F.abs(away[m]) <= width
-        inside &= ~((away["chars_per_token"] < -joint) & (away["entropy"] < -joint))
-        inside |= F.col("band").isNull()
+    away = {m: (F.col(m) - F.col(f"_band.{m}_middle")) / F.greatest(1.4826 * F.col(f"_band.{m}_spread"), F.lit(FLOOR[m])) for m in _MEASURES}
+    for m in _MEASURES:
+        inside &= F.abs(away[m]) <= width
+    inside &= ~((away["chars_per_token"] < -joint) & (away["entropy"] < -joint))
+    inside |= F.col("_band").isNull()
     kept = ~F.col("base_failed") & inside
     return rows.select(*own.columns, kept.alias("kept"))
 

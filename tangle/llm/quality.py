@@ -72,7 +72,11 @@ def context_table(docs: DataFrame, rows: int = ROWS, dim: int = DIM) -> np.ndarr
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["slice", "part"])
 
-    got = docs.select("text").mapInArrow(count, "slice int, part binary").repartition(min(SLICES, 16), "slice").mapInArrow(add, "slice int, part binary").collect()
+    parts = docs.select("text").mapInArrow(count, "slice int, part binary")
+    if (many := C.shards_for(docs, 128 << 20)) > SLICES:  # a tree: tables of as many tasks meet in groups first
+        parts = parts.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(int(many**0.5)))).repartition(int(many**0.5) * 4, "slice", "group")
+        parts = parts.select("slice", "part").mapInArrow(add, "slice int, part binary")
+    got = parts.repartition(min(SLICES, 16), "slice").mapInArrow(add, "slice int, part binary").collect()
     out = np.zeros((SLICES, rows * dim // SLICES), np.int64)
     for r in got:  # at most one a slice
         out[r["slice"]] += np.frombuffer(r["part"], np.int64)
@@ -175,8 +179,9 @@ def fold(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = SAMPLE) -> Network:
     """The network, from at most `sample` labelled rows whose fold isn't 2, by hash of doc_id; fold 3 sets the temperature.
 
-    An id labelled more than once takes its least label; null ids and labels teach nothing. With no labelled row at all the
-    network is fitted to one empty text of label 1: every score is high.
+    An id labelled more than once takes its least label; null ids and labels teach nothing. Rows that repeat a labelled id
+    teach once, by the least of their features. With no labelled row at all the network is fitted to one empty text of
+    label 1: every score is high.
     """
     spark = docs.sparkSession
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y")).filter(fold("doc_id") != 2)
@@ -190,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # `sample` rows
     rows = rows.select("doc_id", F.col("y").cast("int").alias("y"), "text", fold("doc_id").cast("int").alias("fold"))
-    got = rows.mapInArrow(run, "doc_id long, y int, fold int, x binary").toPandas().sort_values(["doc_id", "x"], kind="stable").head(2 * sample)
+    got = rows.mapInArrow(run, "doc_id long, y int, fold int, x binary").groupBy("doc_id").agg(F.min(F.struct("x", "y", "fold")).alias("row"))
+    got = got.select("doc_id", "row.*").toPandas().sort_values("doc_id", kind="stable")  # `sample` rows
     if not len(got):
         return Network(np.zeros((1, 3 * (vectors.shape[1] // 2) + 6)), np.ones(1), np.zeros(1, bool))
     x = np.stack([np.frombuffer(r, np.float32) for r in got["x"]]).astype(np.float64)
@@ -198,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs, repeats included. Null text scores as empty text does."""
+    """(doc_id, held_out, score, predicted) of every row of docs, repeats included. Null text scores as empty text does; very
+    long texts are read whole. No rows give no rows; columns other than doc_id and text don't matter."""
     vectors = word_vectors(context_table(docs))
     network = fit(docs, labels, vectors, sample)
     held = docs.sparkSession.sparkContext.broadcast((vectors, network))

@@ -135,8 +135,9 @@ def grades(x: np.ndarray, at: np.ndarray, toxic: np.ndarray, rows: int = ROWS) -
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     """From at most `sample` labelled rows, half of them toxic at most, by hash of doc_id.
 
-    An id labelled more than once is toxic if any label says so; null ids and labels teach nothing. Without labelled rows the
-    model is fitted to one empty text of grade 0.
+    An id labelled more than once is toxic if any label says so; null ids and labels teach nothing. Rows that repeat a
+    labelled id teach once, by the least of their lists of features. Without labelled rows the model is fitted to one empty
+    text of grade 0.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = C.durable(known.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id")))
@@ -150,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32)))], names=["doc_id", "toxic", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows
-    got = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id long, toxic int, x array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    got = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id long, toxic int, x array<int>")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("x", "toxic")).alias("row")).select("doc_id", "row.*").toArrow().sort_by("doc_id").combine_chunks()
     if not got.num_rows:
         return Ordinal(np.zeros(0, np.int64), np.zeros(2, np.int64), np.zeros(1, np.int64))
     lists = got.column("x").combine_chunks() if isinstance(got.column("x"), pa.ChunkedArray) else got.column("x")
@@ -162,7 +164,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """(doc_id, severity, p_toxic, grade, toxic) of every row of docs, repeats included.
 
     severity is the expected grade, 0 to 3; grade the median one; toxic says that P(grade > 0) is at least 0.5. Null text
-    scores as empty text does.
+    scores as empty text does; very long texts are read whole. No rows give no rows; columns other than doc_id and text
+    don't matter.
     """
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 

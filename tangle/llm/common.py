@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes of one Arrow batch handed to Python; bounds a worker's memory whatever the rows' lengths.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: A word, wherever a contract says so: a run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"

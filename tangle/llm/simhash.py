@@ -5,6 +5,10 @@ A fingerprint's 64 bits are cut into `segments` runs that stand in a ring. If tw
 the proportional budget l * distance / segments after each of l = 1, 2, ... segments. While that budget is below one the
 segments must be equal, so they are the bucket key (27 bits with 7 segments and distance 2); later budgets prune the
 pairs of a bucket before the full Hamming check.
+
+Fingerprints are the vertices of the graph: documents (with or without an id, repeated ids, copies) only hang on them. A
+bucket of over DENSE distinct fingerprints is not compared pair by pair along its chains but joined by masks: sorting by the
+fingerprint less `distance` of its free bits puts linked ones side by side, exactly and in time linear in the bucket.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -48,15 +52,19 @@ def fingerprints_of(buf: np.ndarray, offs: np.ndarray, shingle: int = 3, seed: i
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long. Null text: no word, fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", keys: list[Column] | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, and k0, k1, ... of `keys`, longs; fp is the fingerprint as a signed long. Null text: no
+    word, fingerprint 0."""
+    more = [k.alias(f"k{i}") for i, k in enumerate(keys or [])]
+    names = ["doc_id", "fp", *[f"k{i}" for i in range(len(more))]]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.batches(it):
             fp = fingerprints_of(*C.buffers(b.column(1)), shingle, seed)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +142,7 @@ def _pairs(ring: Ring, key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Ite
 
 def links(fps: DataFrame, distance: int = 2, segments: int = 7) -> DataFrame:
     """(a, b): edges over the nodes of fps(fp, node), distinct fingerprints, that join exactly what links of `distance` bits join.
+    node may be the fingerprint itself.
 
     Each fingerprint goes to one bucket per chain. A task reads its buckets in key order and returns a spanning forest of
     their links, so that a dense group returns as many edges as it has members. Buckets of over DENSE fingerprints are
@@ -165,22 +174,62 @@ def links(fps: DataFrame, distance: int = 2, segments: int = 7) -> DataFrame:
         if held and sum(map(len, held)):
             yield from search(np.ascontiguousarray(np.concatenate(held)))
 
-    rows = fps.filter("node is not null").select(F.inline(chains), "fp", "node").select("chain", "key", "fp", "node")
+    rows = fps.select(F.inline(chains), "fp", "node").select("chain", "key", "fp", "node")
     return rows.repartition("chain", "key").sortWithinPartitions("chain", "key").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 2, segments: int = 7, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 2, segments: int = 7, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", hot: int = C.HOT_LEAST) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs.
 
-    component_id is the smallest doc_id reachable over links of at most `distance` differing bits, itself included.
-    Copies collapse into one fingerprint before any comparison. Null text counts as empty. A row without doc_id takes the
-    component of rows with its very fingerprint, else null; rows that repeat are all returned. No rows give no rows.
+    component_id is the smallest doc_id reachable over links of at most `distance` differing bits, itself included. Copies
+    collapse into one fingerprint before any comparison. Null text counts as empty; very long texts are read whole. A row
+    without doc_id links like any other and names no component: where no row of a component has an id, component_id is
+    null. Rows that repeat, or share a doc_id and not their text, are all returned, each in its own fingerprint's
+    component. No rows give no rows. Fingerprints of over `hot` rows (and one in 1000) are dealt by a salt.
     """
     own = C.durable(fingerprints(docs, shingle, seed, id_col, text_col))
-    distinct = C.durable(own.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    moved = C.components(links(distinct, distance, segments)).filter("node <> root")
-    named = distinct.join(moved, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    distinct = C.durable(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    moved = _roots(distinct, distance, segments)
+    rooted = distinct.join(moved, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = C.durable(rooted.join(least, "root").select("fp", "copies", "component_id"))
+    C.drop(distinct, moved)
+    return C.join_hot(own, named, ["fp"], "copies", least=hot).select("doc_id", "fp", "component_id")
+
+
+def _roots(distinct: DataFrame, distance: int, segments: int) -> DataFrame:
+    """(fp, root) of those of distinct(fp, ...) that reach a smaller fingerprint."""
+    edges = links(distinct.select("fp", F.col("fp").alias("node")), distance, segments)
+    found = C.components(edges)
+    out = C.durable(found.filter("node <> root").select(F.col("node").alias("fp"), "root"))
+    C.drop(found)
+    return out
+
+
+def deduplicate(docs: DataFrame, distance: int = 2, segments: int = 7, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, one of each component of near_duplicates(): the one of smallest doc_id, rows without
+    id after all others, ties by fingerprint and a hash of the whole row; of rows equal in every column one stays.
+
+    Rows are told apart by a 128-bit hash of all their columns, so that rows that merely share a doc_id are judged by their
+    texts. Texts move once, dealt by that hash; everything before moves numbers.
+    """
+    cols = C.columns(docs)
+    keys = [F.xxhash64(F.lit(k), *cols, *[F.isnull(c) for c in cols]) for k in (1, 2)]
+    own = C.durable(fingerprints(docs, shingle, seed, id_col, text_col, keys))
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "fp", "k0", "k1")
+    distinct = C.durable(own.groupBy("fp").agg(F.min(row).alias("row"), F.count("*").alias("copies")))
+    moved = _roots(distinct, distance, segments)
+    first = distinct.join(moved, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row"))
+    stay = C.durable(first.select("row.k0", "row.k1"))
+    repeated = not own.join(stay, ["k0", "k1"], "left_semi").groupBy("k0", "k1").count().filter("count > 1").isEmpty()
+    C.drop(own, distinct, moved)
+    # docs may have any column: names of one's own that none of them has
+    a, b = (f"_key{k}" + "_" * max(map(len, docs.columns)) for k in (0, 1))
+    rows = docs.withColumns({a: keys[0], b: keys[1]})
+    if repeated:  # partial aggregation collapses equal rows where they lie
+        rows = rows.dropDuplicates([a, b])
+    stay = stay.toDF(a, b).hint("merge")  # as at scale, where the list of those that stay is no small table
+    return rows.join(stay, [a, b], "left_semi").select(*cols)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

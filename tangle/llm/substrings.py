@@ -12,6 +12,10 @@
 
 Anchors met very often send their windows to shards by the windows' own hashes, so that no shard holds a hot anchor whole.
 Which anchors are hot is decided once for all pieces: at most one anchor in `hot` pieces is.
+
+Texts never move. They are written once, each task's rows in one bucket, and everything else comes back to them by the
+number of the task that read them: flags of pieces, and the shards' replies, one for each batch that sent a piece, so that a
+piece of a third of all documents is no hot key. Pieces are equal if 128 bits of hashes are.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from . import common as C
 
@@ -38,6 +43,7 @@ ANCHOR_BYTES, SHARD_WORDS = 16 << 20, 800_000
 TEXT_BYTES = 16 << 20
 #: The place of a document without id: after all others.
 LAST = (1 << 63) - 1
+SECOND = 0x5851F42D4C957F2D
 
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -96,7 +102,7 @@ def _words(col: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 _FLAGS = "rk long, starts array<int>, sizes array<int>, anchors array<long>"
-_ENTRY = np.dtype([("a", "<u8"), ("rk", "<i8"), ("start", "<i4"), ("n", "<i4")])
+_ENTRY = np.dtype([("a", "<u8"), ("ord", "<i8"), ("rk", "<i8"), ("start", "<i4"), ("n", "<i4")])
 
 
 def _flag_batch(rk: np.ndarray, start: np.ndarray, n: np.ndarray, a: np.ndarray) -> list[pa.Array]:
@@ -109,7 +115,8 @@ def _flag_batch(rk: np.ndarray, start: np.ndarray, n: np.ndarray, a: np.ndarray)
 
 
 def shared_anchors(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
-    """_FLAGS of docs(rk, text): pieces whose anchor occurs in more than one row key; see hot_anchors() for start -1.
+    """_FLAGS of docs(rk, text[, ord]): pieces whose anchor occurs in rows of more than one ord (rk, if there is none), by
+    the row key rk; see hot_anchors() for start -1.
 
     A batch sends each anchor once if several of its documents hold it (they are flagged at once), so that an anchor of a
     third of all documents is an entry a batch. Entries travel packed, a message a batch and shard.
@@ -118,73 +125,55 @@ def shared_anchors(docs: DataFrame, window: int, gram: int, hot: int) -> DataFra
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for b in C.batches(it, C.BATCH_BYTES // 2):
-            rk = b.column(0).to_numpy()
+        for b in C.batches(it, C.BATCH_BYTES):
+            rk, who = b.column(0).to_numpy(), b.column(2).to_numpy()
             *_, first, h = _words(b.column(1))
             doc, start, n, a = pieces_of(h, first, window, gram)
             if not len(doc):
                 continue
-            own = rk[doc]
+            own, who = rk[doc], who[doc]
             order = np.argsort(a, kind="stable")
             s = a[order]
             cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             size = np.diff(np.append(cut, len(s)))
-            many = np.minimum.reduceat(own[order], cut) != np.maximum.reduceat(own[order], cut)
+            many = np.minimum.reduceat(who[order], cut) != np.maximum.reduceat(who[order], cut)
             known = np.zeros(len(a), bool)
             known[order] = np.repeat(many, size)
             lone = np.flatnonzero(~known)
             reps = order[cut[many]]
             entries = np.zeros(len(lone) + len(reps), _ENTRY)
-            for name, x in (("a", a), ("rk", own), ("start", start), ("n", n)):
+            for name, x in (("a", a), ("ord", who), ("rk", own), ("start", start), ("n", n)):
                 entries[name] = np.concatenate([x[lone], x[reps]])
             entries["start"][len(lone) :] = -1  # known as shared
             entries["n"][len(lone) :] = size[many]
             held = np.flatnonzero(known)
             to = (entries["a"] >> np.uint64(32)) % np.uint64(shards)
             order = np.argsort(to.astype(np.uint32), kind="stable")
-            cut = np.searchsorted(to[order], np.arange(shards + 1))
-            kind, rows = [], []
-            for k in range(shards):
-                if cut[k] < cut[k + 1]:
-                    part = entries[order[cut[k] : cut[k + 1]]]
-                    kind.append(k)
-                    rows.append(squeeze.compress(b"".join(part[c].tobytes() for c in _ENTRY.names)))
+            cut = np.flatnonzero(np.diff(to[order].astype(np.int64), prepend=-1))
+            kind, rows = to[order[cut]].astype(np.int32), []
+            for x, y in zip(cut, [*cut[1:], len(order)], strict=True):
+                part = entries[order[x:y]]
+                rows.append(squeeze.compress(b"".join(part[c].tobytes() for c in _ENTRY.names)))
             n_rows = len(rows)
             empty = pa.nulls(n_rows, pa.list_(pa.int32()))
-            sent = [pa.array(kind, pa.int32()), pa.array(rows, pa.binary()), pa.nulls(n_rows, pa.int64()), empty, empty, pa.nulls(n_rows, pa.list_(pa.int64()))]
+            sent = [pa.array(kind), pa.array(rows, pa.binary()), pa.nulls(n_rows, pa.int64()), empty, empty, pa.nulls(n_rows, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(sent, names=names)
             flags = _flag_batch(own[held], start[held], n[held], a[held])
             m = len(flags[0])
-            shard = pa.array((flags[0].to_numpy().view(np.uint64) % np.uint64(shards)).astype(np.int32))
+            shard = pa.array(((flags[0].to_numpy().view(np.uint64) * _ODD >> np.uint64(32)) % np.uint64(shards)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([shard, pa.nulls(m, pa.binary()), *flags], names=names)
 
     names = ["shard", "entries", "rk", "starts", "sizes", "anchors"]
 
-    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-        held: list[list[np.ndarray]] = [[], [], [], []]
-        for b in it:
-            message = b.column(1).is_valid()
-            passed = b.filter(pa.compute.invert(message))
-            if passed.num_rows:
-                yield passed.select(names[2:])
-            for raw in b.column(1).drop_null():
-                raw = open_.decompress(raw.as_py())
-                n, upto = len(raw) // _ENTRY.itemsize, 0
-                for k, c in enumerate(_ENTRY.names):
-                    held[k].append(np.frombuffer(raw, _ENTRY[c], n, upto))
-                    upto += n * _ENTRY[c].itemsize
-        if not held[0]:
-            return
-        a, rk, start, n = (np.concatenate(x) for x in held)
-        held.clear()
-        C.trim()
+    def met(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """What one shard's entries say."""
+        a, who, rk, start, n = (np.concatenate(x) for x in held)
         order = np.argsort(a, kind="stable")
         s = a[order]
         cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         size = np.diff(np.append(cut, len(s)))
-        own = rk[order]
-        many = (np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut)) | (np.minimum.reduceat(start[order], cut) < 0)
+        who = who[order]
+        many = (np.minimum.reduceat(who, cut) != np.maximum.reduceat(who, cut)) | (np.minimum.reduceat(start[order], cut) < 0)
         weight = np.add.reduceat(np.where(start[order] < 0, n[order], 1), cut)
         marks = order[cut[many & (weight > hot)]]  # one of its row keys tells that an anchor is hot
         order = order[np.repeat(many, size) & (start[order] >= 0)]
@@ -194,8 +183,31 @@ def shared_anchors(docs: DataFrame, window: int, gram: int, hot: int) -> DataFra
         if len(order):
             yield pa.RecordBatch.from_arrays(_flag_batch(rk[order], start, n, a[order]), names=names[2:])
 
-    sent = docs.select("rk", "text").mapInArrow(send, f"shard int, entries binary, {_FLAGS}")
-    return sent.repartition(shards, "shard").mapInArrow(meet, _FLAGS)
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, now = zstandard.ZstdDecompressor(), None
+        held: list[list[np.ndarray]] = [[] for _ in _ENTRY.names]
+        for b in it:
+            message = b.column(1).is_valid()
+            passed = b.filter(pa.compute.invert(message))
+            if passed.num_rows:
+                yield passed.select(names[2:])
+            for shard, raw in zip(b.column(0).filter(message).to_pylist(), b.column(1).drop_null(), strict=True):
+                if shard != now:  # rows come in order of their shards: one is held at a time
+                    if held[0]:
+                        yield from met(held)
+                        C.trim()
+                    now, held = shard, [[] for _ in _ENTRY.names]
+                raw = open_.decompress(raw.as_py())
+                n, upto = len(raw) // _ENTRY.itemsize, 0
+                for k, c in enumerate(_ENTRY.names):
+                    held[k].append(np.frombuffer(raw, _ENTRY[c], n, upto))
+                    upto += n * _ENTRY[c].itemsize
+        if held[0]:
+            yield from met(held)
+
+    rows = docs.select("rk", "text", F.col("ord" if "ord" in docs.columns else "rk").alias("ord"))
+    sent = rows.mapInArrow(send, f"shard int, entries binary, {_FLAGS}")
+    return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(meet, _FLAGS)
 
 
 def hot_anchors(flagged: DataFrame) -> np.ndarray:
@@ -294,16 +306,29 @@ class FMIndex:
                 yield live, self.size[live] - done, self.least[self.group[lo]]
 
 
-def _piece_hash(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    out = n.astype(np.uint64)
+def _piece_hash(h: np.ndarray, at: np.ndarray, n: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each run of n words; two seeds make 128 bits."""
+    out = n.astype(np.uint64) ^ np.uint64(seed)
     with np.errstate(over="ignore"):
         for k in range(int(n.max(initial=0))):
-            out = np.where(k < n, _mix(out * _MIX + h[np.minimum(at + k, len(h) - 1)]), out)
+            out = np.where(k < n, _mix(out * _MIX + (h[np.minimum(at + k, len(h) - 1)] ^ np.uint64(seed))), out)
     return out
 
 
+def alike(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the keys, the last one first, and where in it each run of rows with all keys equal but the first begins."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = False
+        for k in keys[1:]:
+            new[1:] |= k[order[1:]] != k[order[:-1]]
+    return order, np.flatnonzero(new)
+
+
 def _cut(b: pa.RecordBatch, window: int, anchors: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Flagged pieces of documents (ord, rk, text, starts, sizes, anchors): row, start, words, hash, shard key, first byte and end.
+    """Flagged pieces of documents (ord, rk, text, starts, sizes, anchors): row, start, words, both hashes, shard key, bytes, first
+    byte and end.
 
     anchors: the hot ones, whose windows are pieces of their own.
     """
@@ -322,24 +347,27 @@ def _cut(b: pa.RecordBatch, window: int, anchors: np.ndarray) -> tuple[np.ndarra
         row, start, key, hot = np.repeat(row, each), np.repeat(start, each) + up, np.repeat(key, each), np.repeat(hot, each)
         size = np.where(hot, 1, np.repeat(size, each))
     at, words = first[row] + start, size + window - 1
-    ph = _piece_hash(h, at, words)
-    return row, start, words, ph, np.where(hot, ph, key) if len(row) else key, buf, st[at], en[at + words - 1]
+    ph, pg = _piece_hash(h, at, words), _piece_hash(h, at, words, SECOND)
+    return row, start, words, ph, pg, np.where(hot, ph, key) if len(row) else key, buf, st[at], en[at + words - 1]
+
+
+_REPLY = ["pid", "ph", "pg", "places", "least"]
 
 
 def search_shards(flagged: DataFrame, window: int, anchors: Broadcast) -> DataFrame:
-    """(ph, places, least): for each distinct piece of flagged documents whose windows a smaller document holds."""
+    """(pid, ph, pg, places, least): for each distinct piece that the flagged documents of a pid hold, its windows that a
+    smaller document holds as well, and the least one that does."""
     n = flagged.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x + (window - 1)))).first()[0] or 0
     shards = max(1, -(-n // SHARD_WORDS))
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for b in C.batches(it, C.BATCH_BYTES // 2):
-            row, start, words, ph, key, buf, begin, end = _cut(b, window, anchors.value)
+        for b in C.batches(it, C.BATCH_BYTES):
+            row, start, words, ph, pg, key, buf, begin, end = _cut(b, window, anchors.value)
             if not len(row):
                 continue
-            owner = b.column(0).to_numpy()[row]
-            order = np.lexsort((owner, ph))
-            cut = np.flatnonzero(np.concatenate([[True], ph[order][1:] != ph[order][:-1]]))
+            owner, pid = b.column(0).to_numpy()[row], b.column(6).to_numpy()[row].astype(np.int64)
+            order, cut = alike(owner, pg, ph, pid)  # a piece of several documents is one entry
             low, high = order[cut], order[np.append(cut[1:], len(order)) - 1]
             shard = ((key[low] >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
             by = np.argsort(shard, kind="stable")
@@ -347,57 +375,76 @@ def search_shards(flagged: DataFrame, window: int, anchors: Broadcast) -> DataFr
             raw, sent = memoryview(buf.tobytes()), []
             for x, y in zip(cut, [*cut[1:], len(by)], strict=True):
                 one, top = low[by[x:y]], high[by[x:y]]
-                head = ph[one].tobytes() + owner[one].tobytes() + owner[top].tobytes() + words[one].astype("<i8").tobytes()
+                head = b"".join(c.tobytes() for c in (ph[one], pg[one], owner[one], owner[top], words[one].astype("<i8"), pid[one]))
                 sent.append(squeeze.compress(len(one).to_bytes(8, "little") + head + b" ".join([raw[i:j] for i, j in zip(begin[one].tolist(), end[one].tolist(), strict=True)])))
             yield pa.RecordBatch.from_arrays([pa.array(shard[by[cut]]), pa.array(sent, pa.binary())], names=["shard", "pieces"])
 
+    def searched(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """One shard's index, and what its search says to each sender."""
+        ph, pg, low, high, size, pid, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = np.cumsum(size) - size
+        order, cut = alike(pid, pg, ph)
+        lows, highs, one = np.minimum.reduceat(low[order], cut), np.maximum.reduceat(high[order], cut), order[cut]
+        n = size[one]
+        end = np.cumsum(n)
+        words = flat[np.repeat(at[one] - end + n, n) + np.arange(end[-1])]
+        found = [(p[x], w[x], least[x]) for p, w, least in FMIndex(words, n, lows, window).search() if (x := least < highs[p]).any()]
+        if not found:
+            return
+        p, w, least = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((w, p))
+        p, w, least = p[by], w[by], least[by]
+        begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        offs = pa.array(np.append(begin, len(p)).astype(np.int32))
+        places, leasts = pa.ListArray.from_arrays(offs, pa.array(w.astype(np.int32))), pa.ListArray.from_arrays(offs, pa.array(least))
+        held_by = np.full(len(cut), -1)
+        held_by[p[begin]] = np.arange(len(begin))
+        first = np.full(len(cut), LAST)
+        first[p[begin]] = np.minimum.reduceat(least, begin)
+        piece = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(order))))
+        told = (held_by[piece] >= 0) & (high[order] > first[piece])
+        run = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (pid[order][1:] != pid[order][:-1])]))
+        run = run[np.logical_or.reduceat(told, run)]  # a pid that sent a piece from several batches is told once
+        to, which = order[run], pa.array(held_by[piece[run]])
+        for x in range(0, len(to), 1 << 16):
+            rows = slice(x, x + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(pid[to[rows]]), pa.array(ph[to[rows]].view(np.int64)), pa.array(pg[to[rows]].view(np.int64)), places.take(which[rows]), leasts.take(which[rows])], names=_REPLY)
+
     def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, held = zstandard.ZstdDecompressor(), []
+        open_, held, now = zstandard.ZstdDecompressor(), [], None
         for b in it:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != now:  # rows come in order of their shards: one is held at a time
+                    if held:
+                        yield from searched(held)
+                        C.trim()
+                    held, now = [], k
                 raw = open_.decompress(raw.as_py())
                 n = int.from_bytes(raw[:8], "little")
-                head = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(4, n)
-                text = np.frombuffer(raw, np.uint8, offset=8 + 32 * n)
+                head = np.frombuffer(raw, "<i8", 6 * n, 8).reshape(6, n)
+                text = np.frombuffer(raw, np.uint8, offset=8 + 48 * n)
                 st, en, _ = C.word_spans(text, np.array([0, len(text)]))
-                held.append((np.full(n, k), head[0].view(np.uint64), head[1], head[2], head[3], C.xxh64_spans(text, st, en)))
-        if not held:
-            return
-        shard, ph, low, high, size, flat = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        at = np.cumsum(size) - size
-        for k in np.unique(shard):
-            mine = np.flatnonzero(shard == k)
-            mine = mine[np.argsort(ph[mine], kind="stable")]
-            cut = np.flatnonzero(np.concatenate([[True], ph[mine][1:] != ph[mine][:-1]]))
-            lows, highs, one = np.minimum.reduceat(low[mine], cut), np.maximum.reduceat(high[mine], cut), mine[cut]
-            n = size[one]
-            end = np.cumsum(n)
-            words = flat[np.repeat(at[one] - end + n, n) + np.arange(end[-1])]
-            found = [(p[x], w[x], least[x]) for p, w, least in FMIndex(words, n, lows, window).search() if (x := least < highs[p]).any()]
-            if found:
-                p, w, least = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.lexsort((w, p))
-                p, w, least = p[order], w[order], least[order]
-                cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-                offs = pa.array(np.append(cut, len(p)).astype(np.int32))
-                C.trim()
-                yield pa.RecordBatch.from_arrays([pa.array(ph[one[p[cut]]].view(np.int64)), pa.ListArray.from_arrays(offs, pa.array(w.astype(np.int32))), pa.ListArray.from_arrays(offs, pa.array(least))], names=["ph", "places", "least"])
-
-    rows = flagged.select("ord", "rk", "text", "starts", "sizes", "anchors")
-    sent = rows.mapInArrow(send, "shard int, pieces binary")
-    return sent.repartition(shards, "shard").mapInArrow(index, "ph long, places array<int>, least array<long>")
+                held.append((head[0].view(np.uint64), head[1].view(np.uint64), *head[2:], C.xxh64_spans(text, st, en)))
+        if held:
+            yield from searched(held)
+
+    sent = flagged.select(*_FLAGGED).mapInArrow(send, "shard int, pieces binary")
+    return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(index, "pid long, ph long, pg long, places array<int>, least array<long>")
+
+
+_FLAGGED = ("ord", "rk", "text", "starts", "sizes", "anchors", "pid")
 
 
 def _members(flagged: DataFrame, window: int, anchors: Broadcast) -> DataFrame:
-    """(ord, rk, ph, start) of every flagged piece."""
+    """(pid, ord, rk, ph, pg, start) of every flagged piece."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.batches(it, C.BATCH_BYTES // 2):
-            row, start, _, ph, *_ = _cut(b, window, anchors.value)
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row]), pa.array(b.column(1).to_numpy()[row]), pa.array(ph.view(np.int64)), pa.array(start.astype(np.int32))], names=["ord", "rk", "ph", "start"])
+        for b in C.batches(it, C.BATCH_BYTES):
+            row, start, _, ph, pg, *_ = _cut(b, window, anchors.value)
+            ord_, rk, pid = (b.column(k).to_numpy()[row] for k in (0, 1, 6))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pid, ord_, rk, ph.view(np.int64), pg.view(np.int64), start.astype(np.int32))], names=["pid", "ord", "rk", "ph", "pg", "start"])
 
-    return flagged.select("ord", "rk", "text", "starts", "sizes", "anchors").mapInArrow(run, "ord long, rk long, ph long, start int")
+    return flagged.select(*_FLAGGED).mapInArrow(run, "pid long, ord long, rk long, ph long, pg long, start int")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -406,33 +453,37 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     SHA-256 of its words joined by one space, taken where the text is cut so that texts don't travel twice.
 
     Windows are judged on the input. What is left keeps its white space, each removed word taking the white space after it
-    along. Null text stays null and counts no word; a document without id comes after all others, and rows of one id never
-    lose words to each other. Rows that repeat are judged alike. Columns named _n_words and so on must not exist.
+    along. Null text stays null and counts no word; empty texts stay; very long ones are searched whole. A document without
+    id comes after all others, and rows of one id (or without) never lose words to each other. Rows that repeat are judged
+    alike, each by itself: n of them cost n times one. No rows give no rows. Columns of docs may have any name; where one
+    is called _n_words, _n_removed or _spans, the result has its column and the operator's own, in this order.
     """
-    names = docs.columns
-    if {"_n_words", "_n_removed", "_spans"} & set(names):
-        raise ValueError("docs has a column named _n_words, _n_removed or _spans")
     if not 8 < window <= DEPTH - RUN + 1 or not 1 <= gram < window:
         raise ValueError(f"window must be 9 to {DEPTH - RUN + 1}, gram under it")
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    own = docs.select(order.alias("ord"), F.xxhash64(order, text_col).alias("rk"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0).alias("_")]).alias("rest"))
-    flags = shared_anchors(own, window, gram, hot).groupBy("rk").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "sizes", "anchors")])
+    spark = docs.sparkSession
+    # each side of a join lies in buckets of pid, one of its keys: that is enough for rows to meet without moving
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    names = docs.columns
+    order = F.coalesce(F.col(C.quoted(id_col)).cast("long"), F.lit(LAST))
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(C.quoted(c)).alias(f"c{k}") for k, c in enumerate(names) if c != text_col])
+    own = docs.select(F.monotonically_increasing_id().alias("rk"), order.alias("ord"), F.col(C.quoted(text_col)).alias("text"), rest.alias("rest"))
+    pid = F.shiftright("rk", 33).alias("pid")
     parts = C.shards_for(docs, TEXT_BYTES)
-    staged = C.bucketed(own.repartition(parts, "rk").join(flags.repartition(parts, "rk"), "rk", "left"), "rk", parts)
-    flagged = staged.filter("starts is not null")
-    anchors = docs.sparkSession.sparkContext.broadcast(hot_anchors(flagged))
-    found = C.durable(search_shards(flagged, window, anchors))
-    hits = _members(flagged, window, anchors).join(found, "ph")
+    texts = C.bucketed(own.select("*", pid), "pid", parts)
+    flags = shared_anchors(texts, window, gram, hot).select("*", pid).repartition(parts, "pid")
+    flags = flags.groupBy("pid", "rk").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "sizes", "anchors")])
+    flags = C.bucketed(flags, "pid", parts)
+    flagged = texts.join(flags, ["rk", "pid"])
+    anchors = spark.sparkContext.broadcast(hot_anchors(flags))
+    replies = C.durable(search_shards(flagged, window, anchors))
+    hits = _members(flagged, window, anchors).join(replies, ["pid", "ph", "pg"])
     smaller = F.filter(F.arrays_zip("places", "least"), lambda z: z["least"] < F.col("ord"))
-    hits = hits.select("ord", "rk", F.transform(smaller, lambda z: z["places"] + F.col("start")).alias("windows")).filter("size(windows) > 0")
-    hits = hits.groupBy("rk", "ord").agg(F.flatten(F.collect_list("windows")).alias("windows")).withColumnRenamed("ord", "own")
-    # by rk alone, which staged lies in buckets of; two documents of one rk are told apart by what cannot be a join key
-    same = (F.col("a.rk") == F.col("b.rk")) & (F.col("a.ord").bitwiseXOR(F.col("b.own")) == 0)
-    rows = staged.alias("a").join(hits.alias("b"), same, "left").select("text", "rest", "windows")
-    kind = staged.schema["rest"].dataType.simpleString()
+    hits = hits.select("pid", "rk", F.transform(smaller, lambda z: z["places"] + F.col("start")).alias("windows")).filter("size(windows) > 0")
+    hits = hits.repartition(parts, "pid").groupBy("pid", "rk").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+    rows = texts.join(hits, ["rk", "pid"], "left").select("text", "rest", "windows")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.batches(it, C.BATCH_BYTES // 2):
+        for b in C.batches(it, C.BATCH_BYTES):
             buf, offs = C.buffers(b.column(0))
             st, en, first = C.word_spans(buf, offs)
             some = [(i, w.values.to_numpy()) for i, w in enumerate(b.column(2)) if w.is_valid and len(w)]
@@ -445,9 +496,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
                 texts = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([kept_hash(texts) if digest else texts, b.column(1), pa.array(np.diff(first)), pa.array(removed), pa.array(spans, _SPANS)], names=["text", "rest", "_n_words", "_n_removed", "_spans"])
 
-    schema = f"text string, rest {kind}, _n_words long, _n_removed long, _spans array<struct<start:int,end:int>>"
-    out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"rest.`{c}`") for c in names], "_n_words", "_n_removed", "_spans")
+    spans = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+    out = rows.mapInArrow(run, C.schema_of(rows.select("text", "rest"), _n_words=LongType(), _n_removed=LongType(), _spans=spans))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest").getField(f"c{k}").alias(c) for k, c in enumerate(names)], "_n_words", "_n_removed", "_spans")
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

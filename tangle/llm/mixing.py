@@ -27,7 +27,7 @@ WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 #: Words in a block, and blocks in an output shard. numpy's draw holds up to 1e9 blocks a node: 3e13 words.
 BLOCK, SHARD = 32768, 512
 SEED = 7
-#: Input bytes for each range of hashes.
+#: Input bytes for each partition of hash ranges.
 RANGE_BYTES = 32 << 20
 #: Nodes of the tree that a task remembers.
 NODES = 1 << 14
@@ -179,8 +179,9 @@ def _placed(docs: DataFrame, carry: bool, weights=WEIGHTS, share: float = SHARE,
     spark = docs.sparkSession
     text, source = F.col(C.quoted(text_col)), F.col(C.quoted(source_col)).cast("string")
     own = [F.col(C.quoted(id_col)).alias("doc_id"), source.alias("source"), F.coalesce(F.regexp_count(text, F.lit(C.WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(C.quoted(id_col)), text).alias("h")]
-    ranges = 1 << max(0, (C.shards_for(docs, RANGE_BYTES) - 1).bit_length())
-    span = F.shiftrightunsigned("h", 64 - ranges.bit_length() + 1).cast("long") if ranges > 1 else F.lit(0).cast("long")
+    parts = C.shards_for(docs, RANGE_BYTES)
+    ranges = 1 << max(1, (16 * parts - 1).bit_length())  # many a partition, so that a large source deals out evenly
+    span = F.shiftrightunsigned("h", 64 - ranges.bit_length() + 1).cast("long")
     sums = C.durable(docs.select(*own).groupBy("source", span.alias("span")).agg(F.sum("size").alias("n")))  # at most `ranges` rows a source
     sizes = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row a source
     plan = recipe(sizes, block, shard, seed, weights=weights, share=share, cap=cap)
@@ -192,7 +193,7 @@ def _placed(docs: DataFrame, carry: bool, weights=WEIGHTS, share: float = SHARE,
     rows = numbered(docs.select(*own, *[text.alias("text"), rest.alias("rest")] * carry).withColumn("span", span))
     rows = rows.withColumn("head", F.lit(False)).select(*_PLACED, *["text", "rest"] * carry)
     both = rows.unionByName(heads.withColumn("head", F.lit(True)).select("src", "span", "head", "source", "size", "source_size", "target"), allowMissingColumns=True)
-    return both.repartition(ranges, "src", "span").sortWithinPartitions("src", "span", F.desc("head"), "h", "doc_id"), plan
+    return both.repartition(parts, "src", "span").sortWithinPartitions("src", "span", F.desc("head"), "h", "doc_id"), plan
 
 
 _PLACED = ["src", "span", "head", "h", "doc_id", "source", "size", "source_size", "target"]

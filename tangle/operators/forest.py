@@ -1,7 +1,7 @@
 """Minimum spanning forest under the total order (distance, smaller id, larger id), and the score N1.
 
-Edges no longer than the cutoff are absent. Each tile of the distance matrix yields its own forest under the same order,
-which holds every edge of the whole forest that lies in the tile (cycle property); Boruvka rounds then finish on those.
+Edges no longer than the cutoff are absent. Each block's pairs yield their own forest under the same order, which holds
+every edge of the whole forest among them (cycle property); Boruvka rounds then finish on those.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pairs as P
+from .tiles import edges_of, local_forest, relations
 
 #: Edges that one task may finish alone (24 bytes each); beyond, rounds of joins do.
 ALONE = 1_000_000
@@ -27,46 +28,9 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
-def local_forest(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Places of the forest's edges among the given ones, by Boruvka on arrays."""
-    order = np.lexsort((hi, lo, w))
-    nodes, inv = np.unique(np.concatenate([lo, hi]), return_inverse=True)
-    a, b = inv[: len(lo)][order], inv[len(lo) :][order]
-    root, alive, kept = np.arange(len(nodes)), np.arange(len(order)), []
-    while len(alive):
-        ra, rb = root[a[alive]], root[b[alive]]
-        cross = ra != rb
-        alive, ra, rb = alive[cross], ra[cross], rb[cross]
-        if not len(alive):
-            break
-        first = np.full(len(nodes), len(order))
-        np.minimum.at(first, ra, alive)
-        np.minimum.at(first, rb, alive)
-        pick = np.unique(first[first < len(order)])
-        kept.append(pick)
-        x, y = root[a[pick]], root[b[pick]]
-        while True:  # join the picked roots
-            x, y = root[x], root[y]
-            if not (open_ := x != y).any():
-                break
-            np.minimum.at(root, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
-            while ((up := root[root]) != root).any():
-                root = up
-    return order[np.concatenate(kept)] if kept else np.zeros(0, np.int64)
-
-
 def candidate_edges(scaled: DataFrame, cutoff: float = P.CUTOFF, size: int = P.BLOCK) -> DataFrame:
-    """(lo, hi, w): forests of all tiles."""
-
-    def kernel(q, qx, ids, x):
-        w = P.distances(qx, x).ravel()
-        i, j = np.repeat(q, len(ids)), np.tile(ids, len(q))
-        keep = (i < j) & (w > cutoff) & np.isfinite(w)
-        i, j, w = i[keep], j[keep], w[keep]
-        own = local_forest(i, j, w) if len(i) else np.zeros(0, np.int64)
-        return i[own], j[own], w[own]
-
-    return P.against_blocks(scaled, kernel, "lo long, hi long, w double", size)
+    """(lo, hi, w): forests of the blocks' pairs."""
+    return edges_of(relations(scaled, cutoff=cutoff, size=size))
 
 
 def check_cutoff(cutoff: float) -> float:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pairs as P
+from .tiles import neighbors_of, relations
 
 KNN_TIE_POLICY = "distance, then smallest id"
 
@@ -25,19 +26,8 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
 
 
 def knn(scaled: DataFrame, k: int, *, size: int = P.BLOCK) -> DataFrame:
-    """(i, rank, j, w) of scaled(id, features): each tile of a block returns at most k rows a sample, then one merge."""
-
-    def kernel(q, qx, ids, x):
-        w = P.distances(qx, x)
-        w[q[:, None] == ids[None, :]] = np.inf
-        order = np.argsort(ids, kind="stable")
-        best = order[np.argsort(w[:, order], axis=1, kind="stable")[:, :k]]
-        i, j = np.repeat(q, best.shape[1]), ids[best].ravel()
-        d = np.take_along_axis(w, best, axis=1).ravel()
-        keep = i != j
-        return i[keep], j[keep], d[keep]
-
-    return _ranked(P.against_blocks(scaled, kernel, "i long, j long, w double", size), k)
+    """(i, rank, j, w) of scaled(id, features): each block meets all others in one task, so that its neighbours are final."""
+    return neighbors_of(relations(scaled, k=k, size=size))
 
 
 def knn_precomputed(pairs: DataFrame, k: int) -> DataFrame:

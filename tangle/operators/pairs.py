@@ -1,11 +1,13 @@
-"""Euclidean distances between all pairs, block against partition, with direct differences summed in feature order.
+"""Euclidean distances between all pairs, block against block, with direct differences summed in feature order.
 
-Queries are dealt in blocks of bounded size; each block is broadcast and meets every partition of the samples. What leaves a
-task is bounded: k rows a query, a spanning forest, or the pairs themselves where pairs are asked for.
+Samples are packed in blocks, a row a block. Each block meets all blocks in one task, its own first, by one shuffle of packed
+rows; nothing is broadcast and the plan does not grow with the samples. What leaves a task is bounded: k rows a sample,
+spanning forests, or the pairs themselves where pairs are asked for. A task holds two blocks at a time.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Samples of a block: what is broadcast at once, and rows of a distance tile.
-BLOCK, TILE = 4096, 512
+#: Samples and bytes of a block at most, columns of a distance tile, and samples below which blocks aren't split further.
+BLOCK, BLOCK_BYTES, TILE, LEAST = 4096, 16 << 20, 512, 32
 CUTOFF = 1e-8
 
 
@@ -33,51 +35,83 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def blocks(df: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Samples of df(id, features) in blocks of at most `size`, by id."""
-    after = None
-    while True:
-        part = df if after is None else df.filter(F.col("id") > int(after))
-        rows = part.orderBy("id").limit(size).toArrow().combine_chunks().to_batches()  # `size` rows
-        if not rows or not rows[0].num_rows:
-            return
-        ids, x = matrix(rows[0].select(["id", "features"]))
-        yield ids, x
-        if len(ids) < size:
-            return
-        after = ids[-1]
-
-
-def against_blocks(df: DataFrame, kernel: Callable, schema: str, size: int = BLOCK) -> DataFrame:
-    """Union over blocks of kernel(query ids, query rows, ids, rows) -> columns, for each Arrow batch of df(id, features)."""
-    spark, out = df.sparkSession, None
+def packed(df: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
+    """(blk, ids, x) of df(id, features): blocks by hash of the id, sorted by id; and how many blocks there may be.
+
+    There are four blocks a core where the samples suffice, so that small inputs keep all cores busy.
+    """
+    got = df.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width")).first()
+    n, width = got["n"], max(1, got["width"] or 1)
+    size = max(1, min(size, BLOCK_BYTES // (8 * width)))
+    count = max(1, -(-n // size), min(4 * df.sparkSession.sparkContext.defaultParallelism, n // LEAST))
+    spread = df.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("blk"), "id", F.transform("features", lambda x: x.cast("double")).alias("x"))
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(now: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["blk", "ids", "x"])
+
+        now, held = None, []
+        for b in it:
+            if not b.num_rows:
+                continue
+            blk, (ids, x) = b.column(0).to_numpy(), matrix(b.select(["id", "x"]))
+            cut = np.flatnonzero(np.concatenate([[True], blk[1:] != blk[:-1]]))
+            for i, j in zip(cut, [*cut[1:], len(blk)], strict=True):
+                if blk[i] != now and held:
+                    yield rows(now, held)
+                    held = []
+                now = int(blk[i])
+                held.append((ids[i:j], x[i:j]))
+        if held:
+            yield rows(now, held)
+
+    own = spread.repartition(min(count, 1 << 12), "blk").sortWithinPartitions("blk", "id")
+    return own.mapInArrow(pack, "blk int, ids binary, x binary"), count
+
+
+#: What a task makes of a block (number, ids, rows) and the blocks it meets, itself first: columns, again and again.
+Work = Callable[[tuple, Iterator[tuple]], Iterator[tuple]]
+
+
+def against_blocks(df: DataFrame, work: Work, schema: str, size: int = BLOCK) -> DataFrame:
+    """What work makes of every block of df(id, features) and all blocks."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * BLOCK_BYTES))
+    blocks, count = packed(df, size)
     names = [c.split()[0] for c in schema.split(", ")]
-    for block in blocks(df, size):
-        held = spark.sparkContext.broadcast(block)
 
-        def run(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read() -> Iterator[tuple]:
             for b in it:
-                ids, x = matrix(b)
-                for i in range(0, len(ids), TILE):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in kernel(*held.value, ids[i : i + TILE], x[i : i + TILE])], names=names)
+                for k in range(b.num_rows):
+                    ids, x = (np.frombuffer(b.column(c)[k].as_buffer(), kind) for c, kind in ((2, np.int64), (3, np.float64)))
+                    yield b.column(0)[k].as_py(), (b.column(1)[k].as_py(), ids, x.reshape(len(ids), -1))
 
-        part = df.select("id", "features").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+        for to, met in itertools.groupby(read(), key=lambda r: r[0]):
+            met = (m for _, m in met)
+            own = next(met)
+            if own[0] == to:  # else no sample has this block's number
+                for columns in work(own, itertools.chain([own], met)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    dealt = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("to"), "blk", "ids", "x")
+    return dealt.repartition(count, "to").sortWithinPartitions("to", F.col("blk") != F.col("to"), "blk").mapInArrow(run, schema)
 
 
 def pairwise(df: DataFrame, *, directed: bool = True, size: int = BLOCK) -> DataFrame:
     """(i, j, w) of all ordered pairs, i = j included; directed=False: (lo, hi, w) with lo < hi. The output is quadratic."""
 
-    def kernel(q, qx, ids, x):
-        w = distances(qx, x)
-        i, j = np.repeat(q, len(ids)), np.tile(ids, len(q))
-        if directed:
-            return i, j, w.ravel()
-        keep = i < j
-        return i[keep], j[keep], w.ravel()[keep]
-
-    return against_blocks(df, kernel, "i long, j long, w double" if directed else "lo long, hi long, w double", size)
+    def work(own, others):
+        _, q, qx = own
+        for _, ids, x in others:
+            for k in range(0, len(ids), TILE):
+                near = ids[k : k + TILE]
+                w = distances(qx, x[k : k + TILE])
+                i, j = np.repeat(q, len(near)), np.tile(near, len(q))
+                keep = slice(None) if directed else i < j
+                yield i[keep], j[keep], w.ravel()[keep]
+
+    return against_blocks(df, work, "i long, j long, w double" if directed else "lo long, hi long, w double", size)
 
 
 def check_precomputed(pairs: DataFrame, n: int) -> DataFrame:

@@ -63,3 +63,10 @@ def fixed_range_scale(df: DataFrame, lo=None, hi=None, *, id_col: str = "id") ->
 def duplicate_groups(scaled: DataFrame) -> DataFrame:
     """(members, size) of each set of equal scaled rows, members ascending."""
     return scaled.groupBy("features").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("id")).alias("members")).filter("size > 1").select("members", "size")
+
+
+def duplicate_counts(scaled: DataFrame) -> tuple[int, int]:
+    """How many sets of equal scaled rows there are, and pairs within them; no set is gathered."""
+    sizes = scaled.groupBy("features").agg(F.count("*").alias("size")).filter("size > 1")
+    got = sizes.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.expr("size * (size - 1) div 2")), F.lit(0)).alias("pairs")).first()
+    return got["groups"], got["pairs"]

@@ -62,6 +62,7 @@ def _docs_inst(spark, d: str) -> DataFrame:
 def _multi(spark, d: str) -> DataFrame:
     s = _doc_samples(spark, d)
     g = engine.geometry(s)
+    g.prepare(K, pairs.CUTOFF)
     both = fisher.f1(g.scaled, s.labels).select("label_name", F.col("value").alias("F1"))
     near = scores.scores(scores.instances(g.knn(K), s.labels, K), K)
     n1 = forest.n1_scores(g.forest(), s.labels).select("label_name", F.col("value").alias("N1"))

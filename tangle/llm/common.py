@@ -133,6 +133,13 @@ def columns(df: DataFrame, *without: str) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns if c not in without]
 
 
+def free(name: str, df: DataFrame) -> str:
+    """name, or with as many underscores before it as df's columns leave it free."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def schema_of(df: DataFrame, **more) -> StructType:
     """df's schema and further fields, for functions over Arrow batches: as types, since names may hold any character."""
     return StructType([*df.schema.fields, *[StructField(k, t) for k, t in more.items()]])

@@ -193,7 +193,7 @@ def first_pass(blocks: list[Block], density: list[float], inside: bool, known: b
     out: list[tuple[bool | None, str]] = []
     for b, d in zip(blocks, density, strict=True):
         n, links = len(b.text), b.links / max(1, len(b.text))
-        if links > LINKS and (b.doubtful or not inside):
+        if links > LINKS and not inside:
             out.append((False, "links"))
         elif n < SHORT or _HEADING.fullmatch(b.tag):
             out.append((False, "short with links") if not inside and (b.links or _NOTICE.match(b.text)) else (None, "short"))
@@ -230,7 +230,8 @@ def second_pass(first: list[bool | None], heading: list[bool], alone: bool = Fal
 
 def decide(blocks: list[Block]) -> list[tuple[bool, str]]:
     """Which blocks belong to the main text, and by which rule."""
-    free = [i for i, b in enumerate(blocks) if not b.bad]
+    bad = [b.bad or b.doubtful and b.links > LINKS * len(b.text) for b in blocks]  # menus, in an article too
+    free = [i for i, x in enumerate(bad) if not x]
     density = {i: density_of(blocks[i].text) if len(blocks[i].text) >= SHORT else 0.0 for i in free}
     known = any(d >= STOP_LOW for d in density.values())
     judge = lambda rows, inside: first_pass([blocks[i] for i in rows], [density[i] for i in rows], inside, known)
@@ -242,7 +243,7 @@ def decide(blocks: list[Block]) -> list[tuple[bool, str]]:
     if not article:
         first = judge(free, False) if main else other
     final = second_pass([x for x, _ in first], [bool(_HEADING.fullmatch(blocks[i].tag)) for i in judged], article)
-    out = [(False, "boilerplate" if b.bad else "outside the article") for b in blocks]
+    out = [(False, "boilerplate" if x else "outside the article") for x in bad]
     for i, (x, rule), keep in zip(judged, first, final, strict=True):
         out[i] = keep, rule if x is not None else f"inherited: {rule}"
     return out

@@ -287,7 +287,7 @@ def materialize(docs: DataFrame, **how) -> DataFrame:
     if "n_chars" in names:
         own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     placed = dealt.mapInArrow(cut, schema).withColumn("order", order).repartition("shard").sortWithinPartitions("shard", "order")
-    return placed.select(*[own[c].alias(c) for c in names], F.struct("shard", "turn", "start", "length").alias("_piece"))
+    return placed.select(*[own[c].alias(c) for c in names], F.struct("shard", "turn", "start", "length").alias(C.free("_piece", docs)))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

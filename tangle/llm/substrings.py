@@ -456,7 +456,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     along. Null text stays null and counts no word; empty texts stay; very long ones are searched whole. A document without
     id comes after all others, and rows of one id (or without) never lose words to each other. Rows that repeat are judged
     alike, each by itself: n of them cost n times one. No rows give no rows. Columns of docs may have any name; where one
-    is called _n_words, _n_removed or _spans, the result has its column and the operator's own, in this order.
+    is called _n_words, _n_removed or _spans, the operator's own gets a further underscore.
     """
     if not 8 < window <= DEPTH - RUN + 1 or not 1 <= gram < window:
         raise ValueError(f"window must be 9 to {DEPTH - RUN + 1}, gram under it")
@@ -498,7 +498,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
 
     spans = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
     out = rows.mapInArrow(run, C.schema_of(rows.select("text", "rest"), _n_words=LongType(), _n_removed=LongType(), _spans=spans))
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest").getField(f"c{k}").alias(c) for k, c in enumerate(names)], "_n_words", "_n_removed", "_spans")
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest").getField(f"c{k}").alias(c) for k, c in enumerate(names)], *[F.col(c).alias(C.free(c, docs)) for c in ("_n_words", "_n_removed", "_spans")])
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -142,7 +142,6 @@ def test_pieces_and_packing(docs, rows, nothing):
     from tangle.llm.vocab import vocabulary_path
 
     model = Tokenizer.from_file(vocabulary_path(packing.VOCABULARY))
-    model.encode_special_tokens = True
     want = []
     for i, t, *_ in rows:
         ids = [*model.encode(t or "", add_special_tokens=False).ids, 1]

@@ -53,14 +53,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that a smaller doc_id holds; n_chars is counted again."""
-    left = substrings.dedup(docs).select(*docs.columns)
+    left = substrings.dedup(docs).select(*common.columns(docs))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources at target weights: a row for each run of words taken, so a document may come twice or in part."""
-    return mixing.materialize(docs).select(*docs.columns)
+    return mixing.materialize(docs).select(*common.columns(docs))
 
 
 @_stage

@@ -58,15 +58,23 @@ def build_knn_graph_blockwise(scaled: DataFrame, max_k: int, *, block_size: int
     return N_.knn(s.df, N_.check_k(max_k, s.n), size=block_size)
 
 
+def _padded(labels, how: dict) -> dict:
+    """how, with too few label_names made up by label_<index>, as direct calls of a metric allow."""
+    names = how.get("label_names")
+    if isinstance(labels, (list, tuple)) and names is not None and len(names) < len(labels):
+        how = how | {"label_names": [*names, *[f"label_{i}" for i in range(len(names), len(labels))]]}
+    return how
+
+
 def compute_f1(scaled: DataFrame, id_col: str, features, labels, **how) -> Result:
     """F1 of features that are scaled already."""
-    return engine.compute(scaled, id_col, features, labels, metrics=("F1",), prescaled=True, **how)
+    return engine.compute(scaled, id_col, features, labels, metrics=("F1",), prescaled=True, **_padded(labels, how))
 
 
 def compute_neighbor_metrics(table: DataFrame, labelled: DataFrame, id_col: str, labels, metrics=NEIGHBOR_METRICS, neighbors: int = 5, **how) -> Result:
     """N3, kDN, CM, C1 of a neighbour table (i, rank, j) and the samples' labels."""
     rows = labelled.withColumn("_none", F.array(F.lit(0.0)))
-    return engine.compute(rows, id_col, "_none", labels, metrics=metrics, neighbors=neighbors, prescaled=True, knn_table=table, **how)
+    return engine.compute(rows, id_col, "_none", labels, metrics=metrics, neighbors=neighbors, prescaled=True, knn_table=table, **_padded(labels, how))
 
 
 def minimum_spanning_forest(distances: DataFrame, *, edge_cutoff: float = EDGE_CUTOFF) -> DataFrame:

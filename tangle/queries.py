@@ -275,7 +275,14 @@ def f1_multilabel(spark, d):
     return fisher.f1(engine.geometry(s).scaled, s.labels).select("label_name", _r("value", "f1"))
 
 
-@query("f1_degenerate_counts", "SELECT 6::BIGINT AS pairs, 3::BIGINT AS zero_denominators, 1.0::DOUBLE AS const_term FROM (SELECT 1)")
+@query(
+    "f1_degenerate_counts",
+    """WITH r AS (SELECT min(o_totalprice::FLOAT) AS lo, max(o_totalprice::FLOAT) AS hi FROM orders),
+z AS (SELECT o_orderstatus AS y, 0 AS f, 0::DOUBLE AS x FROM orders UNION ALL SELECT o_orderstatus, 1, ((o_totalprice::FLOAT - lo) / (hi - lo))::DOUBLE FROM orders, r),
+m AS (SELECT y, f, avg(x) AS mean, var_pop(x) AS var FROM z GROUP BY y, f),
+t AS (SELECT a.f, (a.mean - b.mean) * (a.mean - b.mean) AS num, a.var + b.var AS den FROM m a JOIN m b ON a.f = b.f AND a.y < b.y)
+SELECT count(*) AS pairs, count(*) FILTER (den = 0) AS zero_denominators, avg(CASE WHEN den = 0 THEN 1::DOUBLE ELSE 1 / (1 + num / den) END) FILTER (f = 0) AS const_term FROM t""",
+)
 def f1_degenerate_counts(spark, d):
     """A constant feature beside a varying one, order status as class: the constant one has no spread in any pair."""
     rows = _read(spark, d, "orders").select(F.array(F.lit(1.0).cast("float"), F.col("o_totalprice").cast("float")).alias("features"), F.col("o_orderstatus").alias("y"))
@@ -293,6 +300,26 @@ def pairwise_summary(spark, d):
     return _emb(spark, d).pairs().agg(F.count("*").alias("pairs"), _r(F.min(F.when(F.col("i") != F.col("j"), w)), "least"), _r(F.max(w), "most"), _r(F.avg(w), "mean"))
 
 
+_DIAGNOSTICS = """, g AS (SELECT count(*) AS c FROM v GROUP BY v HAVING count(*) > 1)
+SELECT 'n_samples' AS key, count(*)::DOUBLE AS value FROM v UNION ALL SELECT 'n_features', count(*)::DOUBLE FROM b
+UNION ALL SELECT 'constant_feature_count', count(*) FILTER (hi <= lo)::DOUBLE FROM b
+UNION ALL SELECT 'exact_duplicate_group_count', count(*)::DOUBLE FROM g UNION ALL SELECT 'exact_duplicate_pair_count', coalesce(sum(c * (c - 1) / 2), 0)::DOUBLE FROM g
+UNION ALL SELECT 'absent_or_zero_upper_edge_count', count(*) FILTER (i < j AND w <= 1e-8)::DOUBLE FROM p
+UNION ALL SELECT 'class_count', count(DISTINCT y)::DOUBLE FROM v UNION ALL SELECT 'largest_class', max(c)::DOUBLE FROM (SELECT count(*) AS c FROM v GROUP BY y)
+UNION ALL SELECT 'N3_error_count', count(*)::DOUBLE FROM (SELECT i, arg_min(y <> y_j, (w, j)) AS x FROM p WHERE i <> j GROUP BY i) WHERE x
+UNION ALL SELECT 'distance_pass_count', 1::DOUBLE"""
+
+
+@query("diagnostics", f"{_EMB_P}{_DIAGNOSTICS}")
+def diagnostics(spark, d):
+    """What the facade tells about its work, from one call for all metrics."""
+    got = engine.compute(_read(spark, d, "embeddings"), "vec_id", "embedding", "label").diagnostics
+    f1, near = got["components"]["F1"][""], got["components"]["neighbors"][""]
+    flat = got["geometry"] | got["forest"] | {"class_count": f1["class_count"], "largest_class": max(f1["class_counts"]), "N3_error_count": sum(near["N3_class_error_counts"].values()), "distance_pass_count": got["distance_pass_count"]}
+    keys = ("n_samples", "n_features", "constant_feature_count", "exact_duplicate_group_count", "exact_duplicate_pair_count", "absent_or_zero_upper_edge_count", "class_count", "largest_class", "N3_error_count", "distance_pass_count")
+    return spark.createDataFrame([(k, float(flat[k])) for k in keys], "key string, value double")
+
+
 @query("pairwise_distance_topk", f"{_EMB_P} SELECT i AS lo, j AS hi, round(w, 9) AS w FROM p WHERE i < j ORDER BY w, i, j LIMIT 50")
 def pairwise_distance_topk(spark, d):
     return pairs.pairwise(_emb(spark, d).scaled, directed=False).orderBy("w", "lo", "hi").limit(50).select("lo", "hi", _r("w"))

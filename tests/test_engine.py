@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tangle.functions import scores
-from tangle.operators import forest, neighbors, pairs, scaling
+from tangle.operators import forest, neighbors, pairs, scaling, tiles
 from tangle.plans import engine
 from tangle.sources import samples
 
@@ -219,3 +219,39 @@ def test_public_calls(spark):
     assert api.fixed_range_scale(df, "id", "features").count() == 8
     with pytest.raises(ValueError, match="unknown"):
         api.score_n1(edges.selectExpr("lo + 100 as lo", "hi", "w"), df, "id", "y")
+
+
+def test_one_pass_and_diagnostics(spark):
+    df = frame(spark, B, [0, 0, 1, 1])
+    got = engine.compute(df, "id", "features", "y", neighbors=2).diagnostics
+    assert got["distance_pass_count"] == got["geometry_build_count"] == got["knn_build_count"] == 1
+    assert (got["geometry"]["exact_duplicate_group_count"], got["geometry"]["exact_duplicate_pair_count"]) == (1, 1)
+    assert got["forest"]["absent_or_zero_upper_edge_count"] == 1
+    assert got["knn"]["max_k"] == 2 and got["knn"]["self_exclusion"]
+    f1 = got["components"]["F1"][""]
+    assert (f1["class_values"], f1["class_counts"], f1["class_pair_count"], f1["feature_count"]) == (["0", "1"], [2, 2], 1, 2)
+    assert sum(got["components"]["neighbors"][""]["N3_class_error_counts"].values()) == got["components"]["neighbors"][""]["N3_error_count"]
+    assert {"geometry", "distances", "F1", "neighbors", "N1"} <= set(got["timings_ms"])
+    assert engine.compute(df, "id", "features", "y", metrics=("F1",)).diagnostics["distance_pass_count"] == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_blocks_of_any_size(spark, size):
+    x = np.random.default_rng(6).integers(0, 4, (70, 3)).astype(float)
+    z = spark.createDataFrame([(5 * i, list(map(float, r))) for i, r in enumerate(x)], "id long, features array<float>").repartition(4)
+    near, edges = brute(x, 3)
+    geo = tiles.relations(z, 3, 1e-8, size)
+    geo = geo.cache()
+    assert {(r.i, r["rank"], r.j) for r in tiles.neighbors_of(geo).collect()} == {(5 * i, k + 1, 5 * j) for i, v in near.items() for k, (_, j) in enumerate(v)}
+    assert {(r.lo, r.hi) for r in forest.spanning_forest(tiles.edges_of(geo)).collect()} == {(5 * i, 5 * j) for i, j in edges}
+    w = pairs.distances(x, x)
+    assert tiles.absent_of(geo) == int(((w <= 1e-8).sum() - len(x)) // 2)
+    assert pairs.pairwise(z, size=size).count() == 4900 and pairs.pairwise(z, directed=False, size=size).count() == 70 * 69 // 2
+
+
+def test_short_label_names(spark):
+    from tangle import api
+
+    df = frame(spark, E2, [0, 0, 0, 1, 1, 1]).selectExpr("id", "features", "y", "1 - y as z")
+    got = api.compute_f1(df, "id", "features", ["y", "z"], label_names=["first"])
+    assert list(got.per_label) == ["first", "label_1"]

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 NAMES = [
     "scale_features", "scaled_value_range", "class_feature_stats", "f1_embeddings", "f1_lineitem", "f1_multilabel", "duplicate_groups", "knn_tie_break", "neighbor_prefix_sweep", "n3_pos_neg_multilabel", "n1_multilabel", "msf_edges",
-    "all_metrics", "multilabel_weighted", "before_after_frozen",
+    "all_metrics", "multilabel_weighted", "before_after_frozen", "diagnostics", "f1_degenerate_counts",
 ]
 
 

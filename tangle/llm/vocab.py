@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Word forms that a worker remembers; beyond, it starts anew. Bounds its memory, not its results.
+#: Word forms that a worker remembers; beyond, it keeps those met most often, half as many at most. Bounds its memory, not its results.
 MOST = 400_000
 
 
@@ -36,34 +37,40 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _in_a_row(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids in a row, and how long each is."""
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.int64, int(n.sum())), n
+
+
 def _encoder(path: str):
+    """A function of words: their ids in a row, and how many each word has."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda words: model.encode(words, num_threads=1)
+        return lambda words: _in_a_row(model.encode(words, num_threads=1))
     model = tokenizer(path)
     model.encode_special_tokens = True  # words never hold them: see WordCoder.added
-    plain = lambda words: [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)]
+    plain = lambda words: _in_a_row([x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)])
     if not _folds(path):
         return plain
     ends = np.zeros(max(model.get_vocab().values()) + 1, bool)
     ends[[i for t, i in model.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def joined(words: list[str]) -> list[list[int]]:
+    def joined(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of lower-case letters are one token run each, closed by a word end: they are encoded as one text."""
-        simple = [k for k, w in enumerate(words) if w.isalpha() and max(w) < "\u0250" and w == w.lower()]
-        ids = np.array(model.encode(" ".join([words[k] for k in simple]), add_special_tokens=False).ids, np.int64)
+        simple = np.fromiter((w.isalpha() and max(w) < "\u0250" and w == w.lower() for w in words), bool, len(words))
+        ids = np.array(model.encode(" ".join(compress(words, simple)), add_special_tokens=False).ids, np.int64)
         cut = np.flatnonzero(ends[ids]) + 1 if len(ids) else ids
-        if len(cut) != len(simple):
+        if len(cut) != simple.sum():
             return plain(words)
-        found: list = [None] * len(words)
-        for k, part in zip(simple, np.split(ids, cut[:-1]) if simple else [], strict=True):
-            found[k] = part
-        rest = [k for k, x in enumerate(found) if x is None]
-        for k, part in zip(rest, plain([words[k] for k in rest]), strict=True):
-            found[k] = part
-        return found
+        rest, m = plain(list(compress(words, ~simple)))
+        n = np.zeros(len(words), np.int64)
+        n[simple], n[~simple] = np.diff(cut, prepend=0), m
+        out, own = np.empty(int(n.sum()), np.int64), np.repeat(simple, n)
+        out[own], out[~own] = ids, rest
+        return out, n
 
     return joined
 
@@ -112,18 +119,30 @@ class WordCoder:
 
     def reset(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids, self.at, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.ids, self.at, self.n, self.met = np.zeros(1 << 16, np.int32), *(np.zeros(1 << 14, np.int64) for _ in range(3))
         self.used = 0
 
+    def _forget(self) -> None:
+        """Keeps the forms met in most batches since the last time, MOST / 2 at most and none met but once."""
+        met = self.met[: len(self.known)]
+        least = max(2, int(np.partition(met, -(MOST // 2))[-(MOST // 2)]) + 1) if len(met) >= MOST // 2 else 2
+        keep = np.flatnonzero(met >= least)
+        words = list(compress(self.known, met >= least))
+        n, at = self.n[keep], self.at[keep]
+        end = np.cumsum(n)
+        ids = self.ids[np.repeat(at - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        self.reset()
+        self._remember(words, ids, n)
+
     def _learn(self, words: list[bytes]) -> None:
-        found = self.encode([w.decode("utf-8", "replace") for w in words])
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int32)
+        self._remember(words, *self.encode([w.decode("utf-8", "replace") for w in words]))
+
+    def _remember(self, words: list[bytes], flat: np.ndarray, n: np.ndarray) -> None:
         k = len(self.known)
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.at) < k + len(words):
-            self.at, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n))
+            self.at, self.n, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n, self.met))
         self.ids[self.used : self.used + len(flat)] = flat
         self.n[k : k + len(words)] = n
         self.at[k : k + len(words)] = self.used + np.cumsum(n) - n
@@ -135,7 +154,7 @@ class WordCoder:
         if not len(st):
             return np.zeros(0, np.int64)
         if len(self.known) > MOST:
-            self.reset()
+            self._forget()
         n = en - st
         keep = np.zeros(len(buf) + 1, np.int8)
         keep[st] += 1
@@ -143,10 +162,14 @@ class WordCoder:
         data = buf[np.cumsum(keep[:-1], dtype=np.int8).view(bool)]
         offs = np.concatenate([[0], np.cumsum(n)])
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(st), [None, pa.py_buffer(offs), pa.py_buffer(data)]).dictionary_encode()
-        forms = words.dictionary.to_pylist()
-        if new := [w for w in forms if w not in self.known]:
-            self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, forms), np.int64, len(forms))
+        ends = np.frombuffer(words.dictionary.buffers()[1], np.int64, len(words.dictionary) + 1).tolist()
+        raw = words.dictionary.buffers()[2].to_pybytes()
+        forms = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        place = np.fromiter(map(self.known.get, forms, repeat(-1)), np.int64, len(forms))
+        if len(new := np.flatnonzero(place < 0)):
+            place[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn([forms[i] for i in new.tolist()])
+        self.met[place] += 1
         return place[words.indices.to_numpy()]
 
     def ids_of(self, buf: np.ndarray, st: np.ndarray, en: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

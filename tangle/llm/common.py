@@ -340,8 +340,18 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def batches(it: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most about `most` bytes; a single longer row stays whole. Memory is trimmed after each."""
+#: What a worker keeps from task to task, see batches().
+kept: dict = {}
+
+
+def batches(it: Iterator[pa.RecordBatch], most: int = BATCH_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most about `most` bytes; a single longer row stays whole. Memory is trimmed after each.
+
+    Workers live on when their stage is over: unless the caller wants to keep it, what they hold in `kept` is dropped.
+    """
+    if kept and not keep:
+        kept.clear()
+        trim()
     for b in it:
         step = max(1, b.num_rows if b.nbytes <= 1.5 * most else b.num_rows * most // b.nbytes)
         for i in range(0, b.num_rows, step):

@@ -132,7 +132,7 @@ def measure(docs: DataFrame, vocabulary: str = VOCABULARY, byte_ids: tuple[int,
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocab.coder(vocabulary)
-        for b in C.batches(it, C.BATCH_BYTES // 2):
+        for b in C.batches(it, C.BATCH_BYTES // 2, keep=True):
             buf, offs = C.buffers(b.column(1))
             st, en, first = C.word_spans(buf, offs)
             got = base_counts(buf, offs, st, en, first)

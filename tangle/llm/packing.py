@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, capaci
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocab.coder(vocabulary)
-        for b in C.batches(it):
+        for b in C.batches(it, C.BATCH_BYTES // 2, keep=True):
             texts = b.column(1)
             odd = words.holds_added(texts)
             if len(odd):  # read as a whole, below

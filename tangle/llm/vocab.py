@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common as C
+
 #: Word forms that a worker remembers; beyond, it keeps those met most often, half as many at most. Bounds its memory, not its results.
 MOST = 400_000
 
@@ -43,7 +45,7 @@ def _in_a_row(found: list) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(found), np.int64, int(n.sum())), n
 
 
-def _encoder(path: str):
+def _encoder(path: str, folds: bool):
     """A function of words: their ids in a row, and how many each word has."""
     if path.endswith(".model"):
         import sentencepiece
@@ -53,10 +55,12 @@ def _encoder(path: str):
     model = tokenizer(path)
     model.encode_special_tokens = True  # words never hold them: see WordCoder.added
     plain = lambda words: _in_a_row([x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)])
-    if not _folds(path):
+    if not folds:
         return plain
-    ends = np.zeros(max(model.get_vocab().values()) + 1, bool)
-    ends[[i for t, i in model.get_vocab().items() if t.endswith("</w>")]] = True
+    tokens = model.get_vocab()
+    ends = np.zeros(max(tokens.values()) + 1, bool)
+    ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+    del tokens
 
     def joined(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of lower-case letters are one token run each, closed by a word end: they are encoded as one text."""
@@ -96,7 +100,8 @@ class WordCoder:
 
     def __init__(self, name: str):
         path = vocabulary_path(name)
-        self.encode, self.folds = _encoder(path), _folds(path)
+        self.folds = _folds(path)
+        self.encode = _encoder(path, self.folds)
         self.path, self.whole = path, None
         self.added: list[str] = []
         if path.endswith(".json"):
@@ -199,12 +204,11 @@ class WordCoder:
         return self.ids[np.repeat(self.at[code] - end + n, n) + np.arange(end[-1] if len(end) else 0)], n
 
 
-_coders: dict[str, WordCoder] = {}
-
-
 def coder(name: str) -> WordCoder:
-    """This worker's coder of a vocabulary; it holds one at a time."""
-    if name not in _coders:
-        _coders.clear()
-        _coders[name] = WordCoder(name)
-    return _coders[name]
+    """This worker's coder of a vocabulary; it holds one at a time, for as long as its tasks ask to keep it."""
+    if name not in C.kept:
+        C.kept.clear()
+        C.trim()
+        C.kept[name] = WordCoder(name)
+        C.trim()
+    return C.kept[name]

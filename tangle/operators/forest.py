@@ -1,7 +1,7 @@
 """Minimum spanning forest under the total order (distance, smaller id, larger id), and the score N1.
 
-Edges no longer than the cutoff are absent. Each block's pairs yield their own forest under the same order, which holds
-every edge of the whole forest among them (cycle property); Boruvka rounds then finish on those.
+Edges no longer than the cutoff are absent. Each part of the edges yields its own forest under the same order, which holds
+every edge of the whole forest among them (cycle property).
 """
 
 from __future__ import annotations
@@ -14,14 +14,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pairs as P
-from .tiles import edges_of, local_forest, relations
+from .tiles import _reduced, edges_of, relations
 
 #: Edges that one task may finish alone (24 bytes each); beyond, rounds of joins do.
 ALONE = 1_000_000
 
+#: Edges that a task gathers before it reduces them to a forest again, and that it may keep.
+GATHER, KEEP = 1 << 20, 1_000_000
+EDGES = "lo long, hi long, w double"
+
 TIE_POLICY = "(distance, smaller id, larger id)"
 
 
+class _Reach:
+    """For each node a weight at most needed on the way to one root within a forest; edges above both ends' are no forest edges."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, w: np.ndarray, rounds: int = 300):
+        self.nodes, inv = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+        a, b = inv[: len(lo)], inv[len(lo) :]
+        self.need = np.full(len(self.nodes) + 1, np.inf)  # the last: unknown nodes
+        self.need[a[np.argmin(w)]] = 0.0
+        for _ in range(rounds):  # what is not reached by then stays open
+            before = np.isinf(self.need).sum()
+            np.minimum.at(self.need, a, np.maximum(self.need[b], w))
+            np.minimum.at(self.need, b, np.maximum(self.need[a], w))
+            if np.isinf(self.need).sum() == before:
+                break
+        first, last = int(self.nodes[0]), int(self.nodes[-1])
+        self.table = None
+        if last - first < 1 << 24:
+            self.table = np.full(last - first + 1, np.inf)
+            self.table[self.nodes - first] = self.need[:-1]
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            at = ids - self.nodes[0]
+            known = (at >= 0) & (at < len(self.table))
+            return np.where(known, self.table[np.where(known, at, 0)], np.inf)
+        at = np.searchsorted(self.nodes, ids)
+        at[self.nodes[np.minimum(at, len(self.nodes) - 1)] != ids] = len(self.nodes)
+        return self.need[at]
+
+
+def reduced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of a task's edges (lo, hi, w); several, if it would keep too many."""
+    held: list[tuple[np.ndarray, ...]] = []
+    new, reach = 0, None
+
+    def batch(lo, hi, w):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (lo, hi, w)], names=["lo", "hi", "w"])
+
+    for b in it:
+        lo, hi, w = (b.column(k).to_numpy() for k in range(3))
+        if reach:
+            keep = w <= np.maximum(reach.of(lo), reach.of(hi))
+            lo, hi, w = lo[keep], hi[keep], w[keep]
+        held.append((lo, hi, w))
+        new += len(lo)
+        if new > GATHER:
+            held, new = _reduced(held), 0
+            if len(held[0][0]) > KEEP:
+                yield batch(*held[0])
+                held, reach = [], None
+            else:
+                reach = _Reach(*held[0])
+    if sum(len(x[0]) for x in held):
+        yield batch(*_reduced(held)[0])
+
+
 def _checkpoint(df: DataFrame) -> DataFrame:
     from tangle.plans.lineage import cut
 
@@ -29,7 +89,7 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 
 
 def candidate_edges(scaled: DataFrame, cutoff: float = P.CUTOFF, size: int = P.BLOCK) -> DataFrame:
-    """(lo, hi, w): forests of the blocks' pairs."""
+    """(lo, hi, w): edges that hold the forest of scaled(id, features)."""
     return edges_of(relations(scaled, cutoff=cutoff, size=size))
 
 
@@ -40,23 +100,24 @@ def check_cutoff(cutoff: float) -> float:
 
 
 def spanning_forest(edges: DataFrame, cutoff: float = P.CUTOFF, alone: int = ALONE) -> DataFrame:
-    """(lo, hi, w): the forest of edges(lo, hi, w), lo < hi. Up to `alone` edges are finished in one task, more by Boruvka
-    rounds of distributed joins.
+    """(lo, hi, w): the forest of edges(lo, hi, w), lo < hi. Tasks reduce their edges to a forest, then those of four tasks
+    again; up to `alone` edges are finished in one task, more by Boruvka rounds of distributed joins.
 
     A round picks each component's least crossing edge; components then merge by hooking to smaller roots and pointer
     jumping. Each round is cut from its lineage; crossing edges at least halve the components.
     """
-    edges = _checkpoint(edges.filter((F.col("w") > check_cutoff(cutoff)) & (F.col("w") < float("inf"))).select("lo", "hi", "w").distinct())
-    if edges.count() <= alone:
-
-        def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [b for b in it if b.num_rows]
-            if rows:
-                lo, hi, w = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(3))
-                own = local_forest(lo, hi, w)
-                yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (lo, hi, w)], names=["lo", "hi", "w"])
-
-        return edges.coalesce(1).mapInArrow(finish, "lo long, hi long, w double")
+    edges = edges.filter((F.col("w") > check_cutoff(cutoff)) & (F.col("w") < float("inf"))).select(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.col("w").cast("double").alias("w"))
+    edges = _checkpoint(edges.mapInArrow(reduced, EDGES))
+    count, parts = edges.count(), edges.rdd.getNumPartitions()
+    while count > alone and parts > 1:
+        parts, before = -(-parts // 4), count
+        edges = _checkpoint(edges.coalesce(parts).mapInArrow(reduced, EDGES))
+        count = edges.count()
+        if count > 0.7 * before:
+            break
+    if count <= alone:
+        return edges.coalesce(1).mapInArrow(reduced, EDGES)
+    edges = edges.distinct()
     crossing = edges.select("lo", "hi", "w", F.col("lo").alias("a"), F.col("hi").alias("b"))
     found = None
     while True:

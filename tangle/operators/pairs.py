@@ -2,7 +2,7 @@
 
 Samples are packed in blocks, a row a block. Each block meets all blocks in one task, its own first, by one shuffle of packed
 rows; nothing is broadcast and the plan does not grow with the samples. What leaves a task is bounded: k rows a sample,
-spanning forests, or the pairs themselves where pairs are asked for. A task holds two blocks at a time.
+or the pairs themselves where pairs are asked for. A task holds two blocks at a time.
 """
 
 from __future__ import annotations
@@ -15,77 +15,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Samples and bytes of a block at most, columns of a distance tile, and samples below which blocks aren't split further.
-BLOCK, BLOCK_BYTES, TILE, LEAST = 4096, 16 << 20, 512, 32
+#: Samples and bytes (as double) of a block at most, columns of a distance tile, and samples below which blocks aren't split further.
+BLOCK, BLOCK_BYTES, TILE, LEAST = 1 << 15, 16 << 20, 512, 32
+#: Distances that are worked on at once, so that they stay in a core's cache.
+CACHED = 1 << 15
 CUTOFF = 1e-8
 
 
-def matrix(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    ids = b.column(0).to_numpy()
-    flat = b.column(1).flatten().to_numpy().astype(np.float64)
-    return ids, flat.reshape(len(ids), -1) if len(ids) else flat.reshape(0, 0)
-
-
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Rows of a against rows of b; the sum of squares runs over features in order, as a written-out expression does."""
-    total = np.zeros((len(a), len(b)))
-    for f in range(a.shape[1]):
-        d = a[:, f, None] - b[None, :, f]
-        total += d * d
-    return np.sqrt(total)
+    total, columns = np.zeros((len(a), len(b))), np.ascontiguousarray(b.T)
+    step = max(1, CACHED // max(1, len(b)))
+    d = np.empty((step, len(b)))
+    for at in range(0, len(a), step):
+        part, own = total[at : at + step], a[at : at + step]
+        for f in range(a.shape[1]):
+            now = np.subtract(own[:, f, None], columns[None, f], out=d[: len(own)])
+            now *= now
+            part += now
+        np.sqrt(part, out=part)
+    return total
 
 
 def packed(df: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
-    """(blk, ids, x) of df(id, features): blocks by hash of the id, sorted by id; and how many blocks there may be.
+    """(blk, ids, x, tags) of df(id, features, longs...): blocks by hash of the id, sorted by id; and how many blocks there may be.
 
-    There are four blocks a core where the samples suffice, so that small inputs keep all cores busy.
+    There are four blocks a core where the samples suffice, so that small inputs keep all cores busy. All blocks meet all, so
+    more would move the samples more often: a smaller size cuts what is compared at once, beyond that number of blocks.
     """
     got = df.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width")).first()
     n, width = got["n"], max(1, got["width"] or 1)
-    size = max(1, min(size, BLOCK_BYTES // (8 * width)))
-    count = max(1, -(-n // size), min(4 * df.sparkSession.sparkContext.defaultParallelism, n // LEAST))
-    spread = df.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("blk"), "id", F.transform("features", lambda x: x.cast("double")).alias("x"))
+    size, most = max(1, size), max(1, min(BLOCK, BLOCK_BYTES // (8 * width)))
+    count = max(1, -(-n // most), min(4 * df.sparkSession.sparkContext.defaultParallelism, max(n // LEAST, -(-n // size))))
+    kind = np.float32 if dict(df.dtypes)["features"] == "array<float>" else np.float64
+    tags = [c for c in df.columns if c not in ("id", "features")]
+    x = "features" if kind == np.float32 else F.transform("features", lambda v: v.cast("double")).alias("features")
+    spread = df.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("blk"), "id", x, *[F.col(c).cast("long") for c in tags])
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(now: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["blk", "ids", "x"])
+        def rows(now: int, held: list[list[np.ndarray]]) -> pa.RecordBatch:
+            ids, x, *more = (np.concatenate(c) for c in zip(*held, strict=True))
+            flat = np.stack(more).tobytes() if more else b""
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *[pa.array([v], pa.binary()) for v in (ids.tobytes(), x.astype(kind).tobytes(), flat)]], names=["blk", "ids", "x", "tags"])
 
         now, held = None, []
         for b in it:
             if not b.num_rows:
                 continue
-            blk, (ids, x) = b.column(0).to_numpy(), matrix(b.select(["id", "x"]))
+            blk, columns = b.column(0).to_numpy(), [b.column(1).to_numpy(), b.column(2).flatten().to_numpy().reshape(b.num_rows, -1), *[b.column(3 + k).to_numpy() for k in range(len(tags))]]
             cut = np.flatnonzero(np.concatenate([[True], blk[1:] != blk[:-1]]))
             for i, j in zip(cut, [*cut[1:], len(blk)], strict=True):
                 if blk[i] != now and held:
                     yield rows(now, held)
                     held = []
                 now = int(blk[i])
-                held.append((ids[i:j], x[i:j]))
+                held.append([c[i:j] for c in columns])
         if held:
             yield rows(now, held)
 
     own = spread.repartition(min(count, 1 << 12), "blk").sortWithinPartitions("blk", "id")
-    return own.mapInArrow(pack, "blk int, ids binary, x binary"), count
+    return own.mapInArrow(pack, "blk int, ids binary, x binary, tags binary"), count
 
 
-#: What a task makes of a block (number, ids, rows) and the blocks it meets, itself first: columns, again and again.
+#: What a task makes of a block (number, ids, rows, tags by name) and the blocks it meets, itself first: columns, again and again.
 Work = Callable[[tuple, Iterator[tuple]], Iterator[tuple]]
 
 
-def against_blocks(df: DataFrame, work: Work, schema: str, size: int = BLOCK) -> DataFrame:
-    """What work makes of every block of df(id, features) and all blocks."""
+def against_blocks(df: DataFrame, work: Work, schema: str, size: int = BLOCK, *, once: bool = False) -> DataFrame:
+    """What work makes of every block of df(id, features, longs...) and all blocks; once: two blocks meet in one of their tasks alone."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * BLOCK_BYTES))
     blocks, count = packed(df, size)
-    names = [c.split()[0] for c in schema.split(", ")]
+    names, tags = [c.split()[0] for c in schema.split(", ")], [c for c in df.columns if c not in ("id", "features")]
+    kind = np.float32 if dict(df.dtypes)["features"] == "array<float>" else np.float64
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read() -> Iterator[tuple]:
             for b in it:
                 for k in range(b.num_rows):
-                    ids, x = (np.frombuffer(b.column(c)[k].as_buffer(), kind) for c, kind in ((2, np.int64), (3, np.float64)))
-                    yield b.column(0)[k].as_py(), (b.column(1)[k].as_py(), ids, x.reshape(len(ids), -1))
+                    ids, x, more = (np.frombuffer(b.column(c)[k].as_buffer(), t) for c, t in ((2, np.int64), (3, kind), (4, np.int64)))
+                    yield b.column(0)[k].as_py(), (b.column(1)[k].as_py(), ids, x.astype(np.float64).reshape(len(ids), -1), dict(zip(tags, more.reshape(len(tags), len(ids)), strict=True)))
 
         for to, met in itertools.groupby(read(), key=lambda r: r[0]):
             met = (m for _, m in met)
@@ -94,7 +102,10 @@ def against_blocks(df: DataFrame, work: Work, schema: str, size: int = BLOCK) ->
                 for columns in work(own, itertools.chain([own], met)):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    dealt = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("to"), "blk", "ids", "x")
+    dealt = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("to"), "blk", "ids", "x", "tags")
+    if once:
+        ahead = 2 * F.pmod(F.col("blk") - F.col("to"), F.lit(count))
+        dealt = dealt.filter((ahead < count) | (ahead == count) & (F.col("to") < F.col("blk")))
     return dealt.repartition(count, "to").sortWithinPartitions("to", F.col("blk") != F.col("to"), "blk").mapInArrow(run, schema)
 
 
@@ -102,16 +113,21 @@ def pairwise(df: DataFrame, *, directed: bool = True, size: int = BLOCK) -> Data
     """(i, j, w) of all ordered pairs, i = j included; directed=False: (lo, hi, w) with lo < hi. The output is quadratic."""
 
     def work(own, others):
-        _, q, qx = own
-        for _, ids, x in others:
-            for k in range(0, len(ids), TILE):
-                near = ids[k : k + TILE]
-                w = distances(qx, x[k : k + TILE])
-                i, j = np.repeat(q, len(near)), np.tile(near, len(q))
-                keep = slice(None) if directed else i < j
-                yield i[keep], j[keep], w.ravel()[keep]
-
-    return against_blocks(df, work, "i long, j long, w double" if directed else "lo long, hi long, w double", size)
+        number, q, qx, _ = own
+        rows = max(1, (1 << 20) // TILE)
+        for other, ids, x, _ in others:
+            for at, k in itertools.product(range(0, len(q), rows), range(0, len(ids), TILE)):
+                mine, near = q[at : at + rows], ids[k : k + TILE]
+                w = distances(qx[at : at + rows], x[k : k + TILE]).ravel()
+                i, j = np.repeat(mine, len(near)), np.tile(near, len(mine))
+                if directed:
+                    yield i, j, w
+                elif other != number:
+                    yield np.minimum(i, j), np.maximum(i, j), w
+                elif (keep := i < j).any():
+                    yield i[keep], j[keep], w[keep]
+
+    return against_blocks(df.select("id", "features"), work, "i long, j long, w double" if directed else "lo long, hi long, w double", size, once=not directed)
 
 
 def check_precomputed(pairs: DataFrame, n: int) -> DataFrame:

@@ -130,6 +130,19 @@ def pairwise(df: DataFrame, *, directed: bool = True, size: int = BLOCK) -> Data
     return against_blocks(df.select("id", "features"), work, "i long, j long, w double" if directed else "lo long, hi long, w double", size, once=not directed)
 
 
+def matrix(df: DataFrame, *, size: int = BLOCK) -> DataFrame:
+    """(i, j, w): the matrix of all ordered pairs in tiles, ids (long) and distances (double, row by row) as bytes."""
+
+    def work(own, others):
+        _, q, qx, _ = own
+        for _, ids, x, _ in others:
+            for a, c in itertools.product(range(0, len(q), TILE), range(0, len(ids), TILE)):
+                mine, near = slice(a, a + TILE), slice(c, c + TILE)
+                yield [q[mine].tobytes()], [ids[near].tobytes()], [distances(qx[mine], x[near]).tobytes()]
+
+    return against_blocks(df.select("id", "features"), work, "i binary, j binary, w binary", size)
+
+
 def check_precomputed(pairs: DataFrame, n: int) -> DataFrame:
     """A distance relation (i, j, w) given by the user: square, no negative, null or non-finite distance."""
     got = pairs.agg(F.count("*").alias("rows"), F.count("w").alias("given"), F.min("w").alias("least"), F.count_if(F.isnan("w") | (F.abs("w") == float("inf"))).alias("odd"), F.count_distinct("i").alias("i"), F.count_distinct("j").alias("j")).first()

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Samples and bytes (as double) of a block at most, columns of a distance tile, and samples below which blocks aren't split further.
 BLOCK, BLOCK_BYTES, TILE, LEAST = 1 << 15, 16 << 20, 512, 32
+#: Rows of a block, at least, where only some are worked for.
+CHOSEN = 1 << 9
 #: Distances that are worked on at once, so that they stay in a core's cache.
 CACHED = 1 << 15
 CUTOFF = 1e-8
@@ -37,20 +39,26 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def packed(df: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
-    """(blk, ids, x, tags) of df(id, features, longs...): blocks by hash of the id, sorted by id; and how many blocks there may be.
+def packed(df: DataFrame, size: int = BLOCK, some: str | None = None) -> tuple[DataFrame, int, int]:
+    """(blk, ids, x, tags) of df(id, features, longs...): blocks by hash of the id, sorted by id; how many blocks there may be, and
+    how many of them, the first, hold the rows whose tag `some` is 1 (without it: all).
 
-    There are four blocks a core where the samples suffice, so that small inputs keep all cores busy. All blocks meet all, so
+    There are two blocks a core where the samples suffice, so that small inputs keep all cores busy. All blocks meet all, so
     more would move the samples more often: a smaller size cuts what is compared at once, beyond that number of blocks.
     """
-    got = df.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width")).first()
+    cores, chosen = df.sparkSession.sparkContext.defaultParallelism, F.col(some) == 1 if some else F.lit(True)
+    got = df.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width"), F.count_if(chosen).alias("some")).first()
     n, width = got["n"], max(1, got["width"] or 1)
     size, most = max(1, size), max(1, min(BLOCK, BLOCK_BYTES // (8 * width)))
-    count = max(1, -(-n // most), min(4 * df.sparkSession.sparkContext.defaultParallelism, max(n // LEAST, -(-n // size))))
+    count = max(1, -(-n // most), min(2 * cores, max(n // LEAST, -(-n // size))))
+    first = max(1, -(-got["some"] // most), min(cores, -(-got["some"] // CHOSEN))) if some else 0
     kind = np.float32 if dict(df.dtypes)["features"] == "array<float>" else np.float64
     tags = [c for c in df.columns if c not in ("id", "features")]
     x = "features" if kind == np.float32 else F.transform("features", lambda v: v.cast("double")).alias("features")
-    spread = df.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("blk"), "id", x, *[F.col(c).cast("long") for c in tags])
+    blk = F.pmod(F.xxhash64("id"), F.lit(count)) + first
+    if some:
+        blk, count = F.when(chosen, F.pmod(F.xxhash64("id"), F.lit(first))).otherwise(blk), count + first
+    spread = df.select(blk.cast("int").alias("blk"), "id", x, *[F.col(c).cast("long") for c in tags])
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(now: int, held: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -74,17 +82,18 @@ def packed(df: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
             yield rows(now, held)
 
     own = spread.repartition(min(count, 1 << 12), "blk").sortWithinPartitions("blk", "id")
-    return own.mapInArrow(pack, "blk int, ids binary, x binary, tags binary"), count
+    return own.mapInArrow(pack, "blk int, ids binary, x binary, tags binary"), count, first if some else count
 
 
 #: What a task makes of a block (number, ids, rows, tags by name) and the blocks it meets, itself first: columns, again and again.
 Work = Callable[[tuple, Iterator[tuple]], Iterator[tuple]]
 
 
-def against_blocks(df: DataFrame, work: Work, schema: str, size: int = BLOCK, *, once: bool = False) -> DataFrame:
-    """What work makes of every block of df(id, features, longs...) and all blocks; once: two blocks meet in one of their tasks alone."""
+def against_blocks(df: DataFrame, work: Work, schema: str, size: int = BLOCK, *, once: bool = False, some: str | None = None) -> DataFrame:
+    """What work makes of every block of df(id, features, longs...) and all blocks; once: two blocks meet in one of their tasks
+    alone; some: a tag, only blocks of rows where it is 1 are worked for, and the samples move once for each of these."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * BLOCK_BYTES))
-    blocks, count = packed(df, size)
+    blocks, count, tasks = packed(df, size, some) if some else packed(df, size)
     names, tags = [c.split()[0] for c in schema.split(", ")], [c for c in df.columns if c not in ("id", "features")]
     kind = np.float32 if dict(df.dtypes)["features"] == "array<float>" else np.float64
 
@@ -102,11 +111,11 @@ def against_blocks(df: DataFrame, work: Work, schema: str, size: int = BLOCK, *,
                 for columns in work(own, itertools.chain([own], met)):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    dealt = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("to"), "blk", "ids", "x", "tags")
+    dealt = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("to"), "blk", "ids", "x", "tags")
     if once:
         ahead = 2 * F.pmod(F.col("blk") - F.col("to"), F.lit(count))
         dealt = dealt.filter((ahead < count) | (ahead == count) & (F.col("to") < F.col("blk")))
-    return dealt.repartition(count, "to").sortWithinPartitions("to", F.col("blk") != F.col("to"), "blk").mapInArrow(run, schema)
+    return dealt.repartitionById(tasks, "to").sortWithinPartitions("to", F.col("blk") != F.col("to"), "blk").mapInArrow(run, schema)
 
 
 def pairwise(df: DataFrame, *, directed: bool = True, size: int = BLOCK) -> DataFrame:

@@ -43,14 +43,16 @@ def packed(df: DataFrame, size: int = BLOCK, some: str | None = None) -> tuple[D
     """(blk, ids, x, tags) of df(id, features, longs...): blocks by hash of the id, sorted by id; how many blocks there may be, and
     how many of them, the first, hold the rows whose tag `some` is 1 (without it: all).
 
-    There are two blocks a core where the samples suffice, so that small inputs keep all cores busy. All blocks meet all, so
+    There is a block a core where the samples suffice, so that small inputs keep all cores busy. All blocks meet all, so
     more would move the samples more often: a smaller size cuts what is compared at once, beyond that number of blocks.
     """
     cores, chosen = df.sparkSession.sparkContext.defaultParallelism, F.col(some) == 1 if some else F.lit(True)
     got = df.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width"), F.count_if(chosen).alias("some")).first()
     n, width = got["n"], max(1, got["width"] or 1)
     size, most = max(1, size), max(1, min(BLOCK, BLOCK_BYTES // (8 * width)))
-    count = max(1, -(-n // most), min(2 * cores, max(n // LEAST, -(-n // size))))
+    count = max(1, -(-n // most), min(cores, max(n // LEAST, -(-n // size))))
+    if count > cores:  # all cores are busy to the end
+        count = -(-count // cores) * cores
     first = max(1, -(-got["some"] // most), min(cores, -(-got["some"] // CHOSEN))) if some else 0
     kind = np.float32 if dict(df.dtypes)["features"] == "array<float>" else np.float64
     tags = [c for c in df.columns if c not in ("id", "features")]
@@ -92,7 +94,7 @@ Work = Callable[[tuple, Iterator[tuple]], Iterator[tuple]]
 def against_blocks(df: DataFrame, work: Work, schema: str, size: int = BLOCK, *, once: bool = False, some: str | None = None) -> DataFrame:
     """What work makes of every block of df(id, features, longs...) and all blocks; once: two blocks meet in one of their tasks
     alone; some: a tag, only blocks of rows where it is 1 are worked for, and the samples move once for each of these."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * BLOCK_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
     blocks, count, tasks = packed(df, size, some) if some else packed(df, size)
     names, tags = [c.split()[0] for c in schema.split(", ")], [c for c in df.columns if c not in ("id", "features")]
     kind = np.float32 if dict(df.dtypes)["features"] == "array<float>" else np.float64

@@ -65,8 +65,15 @@ def duplicate_groups(scaled: DataFrame) -> DataFrame:
     return scaled.groupBy("features").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("id")).alias("members")).filter("size > 1").select("members", "size")
 
 
+def alike(scaled: DataFrame) -> bool:
+    """Whether rows may be equal: some have one hash. The features themselves don't move."""
+    return not scaled.groupBy(F.xxhash64("features").alias("h")).count().filter("count > 1").isEmpty()
+
+
 def duplicate_counts(scaled: DataFrame) -> tuple[int, int]:
     """How many sets of equal scaled rows there are, and pairs within them; no set is gathered."""
+    if not alike(scaled):
+        return 0, 0
     sizes = scaled.groupBy("features").agg(F.count("*").alias("size")).filter("size > 1")
     got = sizes.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.expr("size * (size - 1) div 2")), F.lit(0)).alias("pairs")).first()
     return got["groups"], got["pairs"]

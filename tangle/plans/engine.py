@@ -62,7 +62,7 @@ class Geometry:
     size: int = pairs.BLOCK
     passes: int = 0
     _found: list[tuple[int | None, float | None, DataFrame]] = field(default_factory=list)
-    _forest: dict[float, DataFrame] = field(default_factory=dict)
+    _some: bool | None = None
 
     def prepare(self, k: int | None = None, cutoff: float | None = None) -> DataFrame:
         """One pass over all distances for what is wanted of neighbours and forest, unless an earlier one has it."""
@@ -73,7 +73,7 @@ class Geometry:
         for known, limit, found in self._found:
             if (k is None or known is not None and known >= k) and cutoff in (None, limit):
                 return found
-        found = cut(tiles.relations(self.scaled, k, cutoff, self.size))
+        found = cut(tiles.relations(self.scaled, k, cutoff, self.size, self.alike()))
         self.passes += 1
         self._found.append((k, cutoff, found))
         return found
@@ -82,9 +82,7 @@ class Geometry:
         return tiles.neighbors_of(self.prepare(k=k)).filter(F.col("rank") <= k)
 
     def forest(self, cutoff: float = pairs.CUTOFF) -> DataFrame:
-        if cutoff not in self._forest:
-            self._forest[cutoff] = cut(F_.spanning_forest(tiles.edges_of(self.prepare(cutoff=cutoff)), cutoff))
-        return self._forest[cutoff]
+        return tiles.edges_of(self.prepare(cutoff=cutoff))
 
     def absent(self, cutoff: float = pairs.CUTOFF) -> int:
         """Pairs of samples that are no edges of the forest's graph."""
@@ -93,6 +91,12 @@ class Geometry:
     def pairs(self) -> DataFrame:
         return pairs.pairwise(self.scaled, size=self.size)
 
+    def alike(self) -> bool:
+        """Whether rows may be equal."""
+        if self._some is None:
+            self._some = scaling.alike(self.scaled)
+        return self._some
+
     def duplicates(self) -> DataFrame:
         return scaling.duplicate_groups(self.scaled)
 
@@ -100,8 +104,8 @@ class Geometry:
 def geometry(samples: S.Samples, *, reference_min=None, reference_max=None, precision: str = "float32", size: int = pairs.BLOCK) -> Geometry:
     """Scaled samples under fitted or frozen bounds. precision float64 scales and compares in double."""
     given = reference_min is not None or reference_max is not None
-    lo, hi = (reference_min, reference_max) if given else scaling.bounds(samples.df)
-    scaled = cut(scaling.scale(samples.df, lo, hi, precision=precision, width=samples.width))
+    lo, hi = (reference_min, reference_max) if given else scaling.matrix_bounds(samples.df)
+    scaled = cut(scaling.scale_matrix(samples.df, lo, hi, precision=precision, width=samples.width))
     return Geometry(samples, scaled, list(lo), list(hi), "reference" if given else "input", size)
 
 
@@ -149,7 +153,7 @@ def compute(
     if own_forest := "N1" in metrics and edges is None:
         F_.check_cutoff(edge_cutoff)
     if own_knn or own_forest:
-        groups, copies = scaling.duplicate_counts(geo.scaled)
+        groups, copies = scaling.duplicate_counts(geo.scaled, geo.alike())
         diagnostics["geometry"] |= {"exact_duplicate_group_count": groups, "exact_duplicate_pair_count": copies}
         geo.prepare(k if own_knn else None, edge_cutoff if own_forest else None)
         lap("distances")

@@ -38,7 +38,7 @@ def _feature_array(df: DataFrame, features: str | list[str]):
             raise ValueError("features must be two-dimensional: an array column or several numeric columns")
         if not isinstance(kind.elementType, NUMERIC):
             raise TypeError("features must be numeric")
-        return F.transform(F.col(features), lambda x: x.cast("float"))
+        return F.col(features) if isinstance(kind.elementType, T.FloatType) else F.transform(F.col(features), lambda x: x.cast("float"))
     if not features:
         raise ValueError("features must be two-dimensional: an array column or several numeric columns")
     for c in features:

@@ -10,7 +10,7 @@ def labelled(knn: DataFrame, labels: DataFrame) -> DataFrame:
     """(label_name, i, rank, y, same): each neighbour with whether its class is the sample's own."""
     own = labels.select(F.col("id").alias("i"), "label_name", "y")
     other = labels.select(F.col("id").alias("j"), "label_name", F.col("y").alias("y_j"))
-    rows = knn.select("i", "rank", "j").join(own, "i").join(other, ["j", "label_name"])
+    rows = knn.select("i", "rank", "j").join(other, "j").join(own, ["i", "label_name"])
     return rows.select("label_name", "i", "rank", "y", (F.col("y") == F.col("y_j")).cast("int").alias("same"))
 
 
@@ -32,12 +32,14 @@ def by_class(inst: DataFrame) -> DataFrame:
     return inst.groupBy("label_name", "y").agg(F.count("*").alias("n"), F.sum("error").alias("errors"), F.avg("error").alias("n3"))
 
 
-def scores(inst: DataFrame, k: int) -> DataFrame:
-    """(label_name, N3, N3_micro, kDN, CM, C1, ...): N3 is the mean of the classes' rates, the rest are over samples."""
-    n3 = by_class(inst).groupBy("label_name").agg(F.avg("n3").alias("N3"))
-    rest = inst.groupBy("label_name").agg(
-        F.avg("error").alias("N3_micro"), (F.sum("disagree") / (F.count("*") * k)).alias("kDN"), F.avg("hard").alias("CM"), F.avg("c1").alias("C1"),
-        F.avg(F.when(F.col("y") == "0", F.col("error"))).alias("N3_negative"), F.avg(F.when(F.col("y") == "1", F.col("error"))).alias("N3_positive"),
+def scores(inst: DataFrame, k: int | None = None) -> DataFrame:
+    """(label_name, N3, N3_micro, kDN, CM, C1, ...): N3 is the mean of the classes' rates, the rest are over samples; from one pass
+    over the instances. Without k: of a sweep, for each k."""
+    keys, k = (["label_name"], F.lit(k)) if k is not None else (["k", "label_name"], F.col("k"))
+    n3, n = F.col("n3"), F.sum("n")
+    classes = inst.groupBy(*keys, "y").agg(F.count("*").alias("n"), F.avg("error").alias("n3"), *[F.sum(c).alias(c) for c in ("error", "disagree", "hard", "c1")])
+    return classes.groupBy(*keys).agg(
+        F.avg(n3).alias("N3"), (F.sum("error") / n).alias("N3_micro"), (F.sum("disagree") / (n * k)).alias("kDN"), (F.sum("hard") / n).alias("CM"), (F.sum("c1") / n).alias("C1"),
+        F.max(F.when(F.col("y") == "0", n3)).alias("N3_negative"), F.max(F.when(F.col("y") == "1", n3)).alias("N3_positive"),
         F.sum("error").alias("N3_error_count"), F.sum("disagree").alias("kDN_disagreement_count"), F.sum("hard").alias("CM_hard_sample_count"), F.sum("c1").alias("C1_instance_sum"),
     )
-    return n3.join(rest, "label_name")

@@ -27,6 +27,17 @@ def instances(knn: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     return out.withColumn("hard", (2 * F.col("disagree") > k).cast("int"))
 
 
+def sweep(knn: DataFrame, labels: DataFrame, ks: list[int]) -> DataFrame:
+    """instances() for each k, with k beside: all from one pass over the neighbours."""
+    rank, same, rows = F.col("rank"), F.col("same"), labelled(knn.filter(F.col("rank") <= max(ks)), labels)
+    found = [F.max(F.when(rank == 1, 1 - same)).alias("error")]
+    for k in ks:
+        weights = F.array(*[F.lit(sum(1.0 / j for j in range(r, k + 1)) / k) for r in range(1, k + 1)])
+        found += [F.sum(F.when(rank <= k, 1 - same)).alias(f"disagree{k}"), (1 - F.sum(F.when(rank <= k, same * weights[rank - 1]))).alias(f"c{k}")]
+    each = [F.struct(F.lit(k).alias("k"), F.col(f"disagree{k}").alias("disagree"), F.col(f"c{k}").alias("c1"), (2 * F.col(f"disagree{k}") > k).cast("int").alias("hard")) for k in ks]
+    return rows.groupBy("label_name", "i", "y").agg(*found).select("label_name", "i", "y", "error", F.inline(F.array(*each)))
+
+
 def by_class(inst: DataFrame) -> DataFrame:
     """(label_name, y, n, errors, n3)."""
     return inst.groupBy("label_name", "y").agg(F.count("*").alias("n"), F.sum("error").alias("errors"), F.avg("error").alias("n3"))

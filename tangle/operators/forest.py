@@ -6,7 +6,7 @@ every edge of the whole forest among them (cycle property).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pairs as P
-from .tiles import _reduced, edges_of, relations
+from .tiles import _hits, _none, _reduced, edges_of, relations
 
 #: Edges that one task may finish alone (24 bytes each); beyond, rounds of joins do.
 ALONE = 1_000_000
@@ -56,14 +56,15 @@ class _Reach:
         return self.need[at]
 
 
+def _edges(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (lo, hi, w)], names=["lo", "hi", "w"])
+
+
 def reduced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The forest of a task's edges (lo, hi, w); several, if it would keep too many."""
     held: list[tuple[np.ndarray, ...]] = []
     new, reach = 0, None
 
-    def batch(lo, hi, w):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (lo, hi, w)], names=["lo", "hi", "w"])
-
     for b in it:
         lo, hi, w = (b.column(k).to_numpy() for k in range(3))
         if reach:
@@ -74,12 +75,60 @@ def reduced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if new > GATHER:
             held, new = _reduced(held), 0
             if len(held[0][0]) > KEEP:
-                yield batch(*held[0])
+                yield _edges(*held[0])
                 held, reach = [], None
             else:
                 reach = _Reach(*held[0])
     if sum(len(x[0]) for x in held):
-        yield batch(*_reduced(held)[0])
+        yield _edges(*_reduced(held)[0])
+
+
+def _reduced_tiles(cutoff: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same of a task's tiles (i, j, w) of a matrix of distances: most are dropped where they stand in their tile.
+
+    What is needed on the way to the root is kept for each set of ids that is a tile's rows or columns, and lessened by the tile's own
+    distances before these are judged: a distance that lessened it is not above it, so no edge is dropped for a way by itself.
+    """
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        need: dict[bytes, np.ndarray] = {}
+        new, reach = 0, None
+        for b in it:
+            for k in range(b.num_rows):
+                rows, columns, flat = (b.column(c)[k].as_buffer() for c in range(3))
+                rows, columns, flat = rows.to_pybytes(), columns.to_pybytes(), np.frombuffer(flat, np.float64)
+                if not len(flat):
+                    continue
+                i, j = np.frombuffer(rows, np.int64), np.frombuffer(columns, np.int64)
+                w = flat.reshape(len(i), len(j))
+                if not (w.min() > cutoff and w.max() < np.inf):
+                    w = np.where(_none(w, cutoff), np.inf, w)
+                if reach:
+                    up, left = (need[c] if c in need else reach.of(own) for c, own in ((rows, i), (columns, j)))
+                    left = np.minimum(left, np.maximum(w, up[:, None]).min(axis=0))
+                    up = np.minimum(up, np.maximum(w, left).min(axis=1))
+                    need[columns], need[rows] = left, up
+                    at, to = _hits(w <= np.maximum(up[:, None], left))
+                else:
+                    at, to = np.nonzero(w < np.inf)
+                x, y, v = i[at], j[to], w[at, to]
+                real = (v < np.inf) & (x != y)
+                x, y, v = x[real], y[real], v[real]
+                held.append((np.minimum(x, y), np.maximum(x, y), v))
+                new += len(v)
+                if new > (GATHER if reach else 0):
+                    held, new = _reduced(held), 0
+                    need.clear()
+                    if len(held[0][0]) > KEEP:
+                        yield _edges(*held[0])
+                        held, reach = [], None
+                    else:
+                        reach = _Reach(*held[0])
+        if sum(len(e[0]) for e in held):
+            yield _edges(*_reduced(held)[0])
+
+    return work
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -142,6 +191,15 @@ def spanning_forest(edges: DataFrame, cutoff: float = P.CUTOFF, alone: int = ALO
     return found if found is not None else edges.limit(0)
 
 
+def matrix_forest(tiles: DataFrame, cutoff: float = P.CUTOFF, alone: int = ALONE) -> DataFrame:
+    """(lo, hi, w): the forest of a matrix of distances given in tiles (i, j, w) of bytes, as pairs.matrix has them, each pair
+    once or both ways; of a pair given twice the shorter distance counts.
+
+    All distances are read, by the tasks that have them; what leaves a task is a forest of its tiles.
+    """
+    return spanning_forest(tiles.mapInArrow(_reduced_tiles(check_cutoff(cutoff)), EDGES), cutoff, alone)
+
+
 def forest(scaled: DataFrame, cutoff: float = P.CUTOFF, size: int = P.BLOCK) -> DataFrame:
     """The forest of scaled(id, features)."""
     return spanning_forest(candidate_edges(scaled, check_cutoff(cutoff), size), cutoff)

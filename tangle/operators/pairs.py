@@ -21,6 +21,8 @@ BLOCK, BLOCK_BYTES, TILE, LEAST = 1 << 15, 16 << 20, 512, 32
 CHOSEN = 1 << 9
 #: Distances that are worked on at once, so that they stay in a core's cache.
 CACHED = 1 << 15
+#: Rows and columns of a tile of a matrix that holds each pair once: long rows take fewer, longer steps for the same distances.
+LONG = (128, 4096)
 CUTOFF = 1e-8
 
 
@@ -39,9 +41,10 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def packed(df: DataFrame, size: int = BLOCK, some: str | None = None) -> tuple[DataFrame, int, int]:
+def packed(df: DataFrame, size: int = BLOCK, some: str | None = None, once: bool = False) -> tuple[DataFrame, int, int]:
     """(blk, ids, x, tags) of df(id, features, longs...): blocks by hash of the id, sorted by id; how many blocks there may be, and
-    how many of them, the first, hold the rows whose tag `some` is 1 (without it: all).
+    how many of them, the first, hold the rows whose tag `some` is 1 (without it: all). once: as many tasks of more work as of less
+    for each core, where two blocks meet in one task alone.
 
     There is a block a core where the samples suffice, so that small inputs keep all cores busy. All blocks meet all, so
     more would move the samples more often: a smaller size cuts what is compared at once, beyond that number of blocks.
@@ -53,6 +56,8 @@ def packed(df: DataFrame, size: int = BLOCK, some: str | None = None) -> tuple[D
     count = max(1, -(-n // most), min(cores, max(n // LEAST, -(-n // size))))
     if count > cores:  # all cores are busy to the end
         count = -(-count // cores) * cores
+    if once and count % 2 == 0 and count == cores and n > 2 * count * LONG[1]:  # half of the tasks meet one block more, the first
+        count *= 2
     first = max(1, -(-got["some"] // most), min(cores, -(-got["some"] // CHOSEN))) if some else 0
     kind = np.float32 if dict(df.dtypes)["features"] == "array<float>" else np.float64
     tags = [c for c in df.columns if c not in ("id", "features")]
@@ -95,7 +100,7 @@ def against_blocks(df: DataFrame, work: Work, schema: str, size: int = BLOCK, *,
     """What work makes of every block of df(id, features, longs...) and all blocks; once: two blocks meet in one of their tasks
     alone; some: a tag, only blocks of rows where it is 1 are worked for, and the samples move once for each of these."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
-    blocks, count, tasks = packed(df, size, some) if some else packed(df, size)
+    blocks, count, tasks = packed(df, size, some, once) if some or once else packed(df, size)
     names, tags = [c.split()[0] for c in schema.split(", ")], [c for c in df.columns if c not in ("id", "features")]
     kind = np.float32 if dict(df.dtypes)["features"] == "array<float>" else np.float64
 
@@ -141,17 +146,22 @@ def pairwise(df: DataFrame, *, directed: bool = True, size: int = BLOCK) -> Data
     return against_blocks(df.select("id", "features"), work, "i long, j long, w double" if directed else "lo long, hi long, w double", size, once=not directed)
 
 
-def matrix(df: DataFrame, *, size: int = BLOCK) -> DataFrame:
-    """(i, j, w): the matrix of all ordered pairs in tiles, ids (long) and distances (double, row by row) as bytes."""
+def matrix(df: DataFrame, *, directed: bool = True, size: int = BLOCK) -> DataFrame:
+    """(i, j, w): the matrix of all ordered pairs in tiles, ids (long) and distances (double, row by row) as bytes; directed=False:
+    each pair at least once, twice only within a block about its diagonal."""
+
+    rows, columns = (TILE, TILE) if directed else LONG
 
     def work(own, others):
-        _, q, qx, _ = own
-        for _, ids, x, _ in others:
-            for a, c in itertools.product(range(0, len(q), TILE), range(0, len(ids), TILE)):
-                mine, near = slice(a, a + TILE), slice(c, c + TILE)
+        number, q, qx, _ = own
+        for other, ids, x, _ in others:
+            for a, c in itertools.product(range(0, len(q), rows), range(0, len(ids), columns)):
+                if not directed and other == number and c + columns <= a:
+                    continue
+                mine, near = slice(a, a + rows), slice(c, c + columns)
                 yield [q[mine].tobytes()], [ids[near].tobytes()], [distances(qx[mine], x[near]).tobytes()]
 
-    return against_blocks(df.select("id", "features"), work, "i binary, j binary, w binary", size)
+    return against_blocks(df.select("id", "features"), work, "i binary, j binary, w binary", size, once=not directed)
 
 
 def check_precomputed(pairs: DataFrame, n: int) -> DataFrame:
